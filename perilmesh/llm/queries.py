@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh_path
 from .oracles import ORACLES
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_of, read_archives, write_archives
+
+    path = fresh_path(spark, "warc")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("payload", F.col("html")), path)
+    records = read_archives(spark, path, payloads=False).where("gap_reason IS NULL")
+    return records.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +56,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_decontaminate, op5_mix_sources, op7_simhash, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op4_decontaminate, op5_mix_sources, op7_simhash, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
