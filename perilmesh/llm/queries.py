@@ -50,6 +50,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_version_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .version_sketch import versions
+
+    return versions(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -72,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op7_simhash, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op9_line_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
