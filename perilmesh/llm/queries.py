@@ -62,6 +62,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -77,8 +83,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
