@@ -55,20 +55,20 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (position - 1).cast("int"))
 
 
-def anchors(fp: Column) -> Column:
-    """All code words within 2 bits of ``fp``, as an array.
+def anchors(fp: Column, length: int = 63) -> Column:
+    """All code words within 2 bits of ``fp``, as an array; fp has length + 1 bits, length is 63 or 31.
 
-    The syndrome of the lower 63 bits is the exclusive or of the positions
-    (1 to 63) of its ones; flipping bits whose positions combine to the syndrome
+    The syndrome of the lower bits is the exclusive or of the positions
+    (1 to length) of its ones; flipping bits whose positions combine to the syndrome
     gives a code word.
     """
-    masks = [sum(1 << (p - 1) for p in range(1, 64) if p >> k & 1) for k in range(6)]
+    masks = [sum(1 << (p - 1) for p in range(1, length + 1) if p >> k & 1) for k in range(length.bit_length())]
     parities = [F.call_function("shiftleft", F.bit_count(fp.bitwiseAND(F.lit(m))) % 2, F.lit(k)) for k, m in enumerate(masks)]
     syndrome = sum(parities[1:], parities[0]).cast("long")
-    top = F.lit(-(1 << 63))
+    top = F.lit(-(1 << 63) if length == 63 else 1 << length).cast("long")
     near = F.when(syndrome == 0, fp).otherwise(fp.bitwiseXOR(_bit(syndrome)))
     pairs = F.transform(
-        F.filter(F.sequence(F.lit(1).cast("long"), F.lit(63).cast("long")), lambda i: i.bitwiseXOR(syndrome) > i),
+        F.filter(F.sequence(F.lit(1).cast("long"), F.lit(length).cast("long")), lambda i: i.bitwiseXOR(syndrome) > i),
         lambda i: fp.bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(syndrome))),
     )
     return F.concat(F.array(near, near.bitwiseXOR(top)), F.when(syndrome == 0, F.array().cast("array<bigint>")).otherwise(pairs))
@@ -113,18 +113,116 @@ def links(classes: DataFrame, *, most: int = 2) -> DataFrame:
     return met.select("fps", "ids").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, words_each: int = 3, most: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words_each: int = 3, most: int = 2, similarity: float | None = None) -> DataFrame:
     """Near-duplicate classes of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns one row per input row: doc_id, fingerprint (16 hex digits) and
-    component_id, the smallest doc_id that links of at most ``most`` differing
-    bits reach.  Texts that are null or without words have fingerprint zero and
-    are linked like any other.  Repeated rows repeat.  A row with a null doc_id
-    gets the component of its fingerprint and links nothing itself.
+    component_id, the smallest doc_id that links reach: of at most ``most`` differing
+    bits and, if ``similarity`` is given, of at least that Jaccard similarity of
+    five-word shingles (``similar_links``).  Texts that are null or without words have
+    fingerprint zero and are linked like any other.  Repeated rows repeat.  A row with a
+    null doc_id gets the component of its fingerprint and links nothing itself.
     """
     sketches = staged(fingerprints(docs, words_each=words_each), "sketches")
     classes = staged(sketches.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    found = components(links(classes, most=most))
+    every = links(classes, most=most)
+    if similarity is not None:
+        own = sketches.where("doc_id IS NOT NULL").join(classes, "fp").select("doc_id", "id")
+        more = staged(similar_links(docs, least=similarity), "similar")
+        for side in ("a", "b"):  # links between documents become links between classes
+            more = more.join(own.select(F.col("doc_id").alias(side), F.col("id").alias(f"_{side}")), side)
+        every = every.unionByName(more.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    found = components(every)
     named = staged(classes.join(found, F.col("id") == F.col("member"), "left").select("fp", F.coalesce("component", "id").alias("component_id")), "named")
     out = sketches.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------- documents of a given similarity
+
+
+def wide_fingerprint(text: bytes) -> tuple[int, int]:
+    """128 bits over the distinct words and word pairs of a text: few edits flip few of them."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0
+    h = np.fromiter(map(_hash, {*words, *map(b" ".join, zip(words, words[1:]))}), np.uint64)
+    out = []
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 65536):
+            x = h[i : i + 65536] * np.uint64(odd)
+            x ^= x >> np.uint64(29)
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little"))
+    return out[0], out[1]
+
+
+def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (of the whole text, if it has fewer words)."""
+    words = text.lower().split()
+    shingles = {b" ".join(words[i : i + words_each]) for i in range(max(1, len(words) - words_each + 1))} if words else ()
+    return np.sort(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)).view(np.int64))
+
+
+def _led(batches: Batches, near: int, same: int) -> Batches:
+    """Candidate pairs of rows (key, id, w0, w1) sorted by key and id.
+
+    At each key, documents go one by one: each is paired with the leaders within ``near`` bits
+    and becomes a leader itself unless one is within ``same`` bits.  So a group of
+    copies, however large, is paired with its few leaders only.
+    """
+    at, leaders = None, np.empty((0, 3), np.int64)
+    for b in batches:
+        keys = b["key"].to_numpy()
+        rows = np.stack([b[c].to_numpy() for c in ("id", "w0", "w1")], axis=1)
+        out = []
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            ends = np.append(starts[1:], len(keys))
+            busy = (ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)
+            for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
+                if keys[s] != at:
+                    at, leaders = keys[s], np.empty((0, 3), np.int64)
+                for row in rows[s:e]:
+                    far = np.bitwise_count((leaders[:, 1:] ^ row[1:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    out += [(int(i), int(row[0])) for i in leaders[far <= near, 0]]
+                    if not (far <= same).any():
+                        leaders = np.vstack((leaders, row))
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _of_quarter(anchor_words: Column, quarter: int) -> Column:
+    return F.transform(anchor_words, lambda x: x + F.lit(quarter << 32))
+
+
+def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, near: int = 26, same: int = 14) -> DataFrame:
+    """Links (a, b) of doc_ids whose texts' word shingles have a Jaccard similarity of ``least`` or more.
+
+    Candidates come from anchors over the four 32-bit quarters of a 128-bit SimHash of words and
+    word pairs: texts that differ in at most 2 bits of a quarter meet (about 95 % of
+    those with similarity 0.8, more of nearer ones).  Every link is checked on whole texts.
+    """
+    kept = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+
+    def sketch(batches: Batches) -> Batches:
+        for b in batches:
+            found = np.array([wide_fingerprint(t or b"") for t in binary(b["text"])], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "w0", "w1"])
+
+    wide = staged(kept.mapInArrow(sketch, "id long, w0 long, w1 long").groupBy("w0", "w1").agg(F.min("id").alias("id")), "wide")
+    low = F.lit((1 << 32) - 1)
+    quarters = [F.col("w0").bitwiseAND(low), F.shiftrightunsigned("w0", 32), F.col("w1").bitwiseAND(low), F.shiftrightunsigned("w1", 32)]
+    keys = F.concat(*(_of_quarter(anchors(q, 31), k) for k, q in enumerate(quarters)))
+    met = wide.select("id", "w0", "w1", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "id")
+    pairs = staged(met.select("key", "id", "w0", "w1").mapInArrow(lambda b: _led(b, near, same), "a long, b long").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def shingled(batches: Batches) -> Batches:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_hashes(t or b"", words_each) for t in binary(b["text"])], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    sets = staged(kept.join(ids, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
