@@ -6,7 +6,8 @@ A document is dropped by a stage only for that stage's own reason:
 
 1. toxicity: the machine, trained on labels that aren't held out, scores 0.3 or more;
 2. line_dedup: lines that a smaller doc_id has go; a document with nothing left but blanks goes with them;
-3. simhash_near_dedup: of documents linked by near-equal fingerprints the smallest doc_id stays;
+3. simhash_near_dedup: of documents linked by near-equal fingerprints, or by 0.8 of their five-word
+   shingles, the smallest doc_id stays;
 4. decontamination: a twentieth or more of the words are in windows of benchmark items;
 5. mixing: documents are repeated by the rate of their source (copy is 1, 2, ...).
 """
@@ -40,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
+    others = near_duplicates(docs, similarity=0.8).where("component_id <> doc_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
