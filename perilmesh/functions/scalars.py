@@ -182,7 +182,7 @@ def quadkey(lat, lon, zoom: int = 9) -> Column:
 
 def lcg(key, rounds: int = 3) -> Column:
     """A uniform number in [0, 1) from an integer key, equal in any engine."""
-    x = _c(key)
+    x = _c(key).cast("long")
     for _ in range(rounds):
         x = (x * 1103515245 + 12345) % 2147483648
     return x / F.lit(2147483648.0)
@@ -190,5 +190,6 @@ def lcg(key, rounds: int = 3) -> Column:
 
 def normal(key, rounds: int = 3) -> Column:
     """A standard normal by Box and Muller from two uniform numbers of a key, to 9 digits."""
-    u, v = lcg(_c(key) * 2 + 1, rounds), lcg(_c(key) * 2 + 2, rounds)
+    key = _c(key).cast("long")
+    u, v = lcg(key * 2 + 1, rounds), lcg(key * 2 + 2, rounds)
     return F.round(F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-9)))) * F.cos(2 * 3.141592653589793 * v), 9)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book
+from . import book, loss
 
-_MODULES = (book,)
+_MODULES = (book, loss)
 
 
 def queries() -> dict:
