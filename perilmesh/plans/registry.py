@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book, loss
+from . import book, decide, loss
 
-_MODULES = (book, loss)
+_MODULES = (book, loss, decide)
 
 
 def queries() -> dict:
