@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book, decide, loss
+from . import book, decide, feeds, loss
 
-_MODULES = (book, loss, decide)
+_MODULES = (book, loss, decide, feeds)
 
 
 def queries() -> dict:
