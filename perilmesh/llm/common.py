@@ -72,4 +72,12 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
+def cuts(df: DataFrame, column: str, parts: int) -> list[int]:
+    """At most parts - 1 rising values that cut an integer column into ranges of like size; none of an empty table."""
+    if parts < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
+    return sorted(set(map(int, found or [])))
+
+
 Batches = Iterator[pa.RecordBatch]

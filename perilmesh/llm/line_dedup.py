@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, staged
+from .common import Batches, cuts, staged
 
 _WS = " \t\n\x0b\x0c\r"
 
@@ -110,15 +110,14 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, batches: int = 4, fanout: i
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     lines = staged(line_hashes(docs, least=least), "lines")
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
-    bounds = [None, *cuts, None]
+    bounds = [None, *cuts(docs, "doc_id", batches), None]
     index, dropped = LineIndex(spark, fanout=fanout), None
     for low, high in zip(bounds, bounds[1:]):
         batch = lines
         if low is not None:
-            batch = batch.where(F.col("doc_id") > int(low))
+            batch = batch.where(F.col("doc_id") > low)
         if high is not None:
-            batch = batch.where(F.col("doc_id") <= int(high))
+            batch = batch.where(F.col("doc_id") <= high)
         fresh = index.add(batch)
         lost = staged(batch.join(fresh.select("h", F.col("first").alias("doc_id")), ["h", "doc_id"], "left_anti"), "lost")
         dropped = lost if dropped is None else dropped.unionByName(lost)

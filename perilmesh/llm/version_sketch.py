@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches
+from .common import Batches, cuts
 
 _CUT = re.compile(r"[.!?]\s+|\n")
 _FAR = -(1 << 63)
@@ -120,8 +120,8 @@ def versions(docs: DataFrame, *, width: int = 8, ranges: int | None = None) -> D
     spark = docs.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_FAR)).alias("_k"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(map(int, keyed.stat.approxQuantile("_k", [i / n for i in range(1, n)], 0.25 / n))))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("_k"))) if cuts else F.lit(0)
+    at = cuts(keyed, "_k", n)
+    place = F.size(F.filter(F.array(*map(F.lit, at)).cast("array<bigint>"), lambda c: c < F.col("_k"))) if at else F.lit(0)
     placed = keyed.withColumn("_range", place)
     firsts = {r["_range"]: r["k"] for r in placed.groupBy("_range").agg(F.max("_k").alias("k")).collect()}  # a row per range
     filled = sorted(firsts)
