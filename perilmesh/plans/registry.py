@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book, decide, feeds, loss
+from . import book, decide, feeds, loss, more
 
-_MODULES = (book, loss, decide, feeds)
+_MODULES = (book, loss, decide, feeds, more)
 
 
 def queries() -> dict:
