@@ -34,7 +34,7 @@ DECAY, SPAN, LENGTH = 0.8, 7, 32
 _SPELLED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 _MARKS = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
-_KNOWN = 200_000  # words whose scores a worker keeps
+_KNOWN = 150_000  # words whose scores a worker keeps
 
 
 def words_of(text: str) -> set[str]:
@@ -247,7 +247,7 @@ def train(labelled: list[tuple[str, int]], *, landmarks: int = 512, ridge: float
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 2500, **how) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, **how) -> ToxicityModel:
     """Train on documents that are not held out and have a toxic label.
 
     Of each label about ``sample`` documents are taken, drawn by hash of the doc_id (all, if there
@@ -280,16 +280,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
     def score(texts):
         m = sent.value
         known = _scores(m)
-        own = [words_of(t) if t else set() for t in texts]
-        for at in range(0, len(own), 500):
-            part = own[at : at + 500]
+        own: list[float] = []
+        for at in range(0, len(texts), 200):  # the word sets of a few texts at a time
+            part = [words_of(t) if t else set() for t in texts.iloc[at : at + 200]]
             new = list(set().union(*part).difference(known))
             if len(known) + len(new) > _KNOWN:
                 known.clear()
                 new = list(set().union(*part))
             known.update(zip(new, m.values(new).tolist()))
-            for i, words in enumerate(part):
-                own[at + i] = max(map(known.__getitem__, words)) if words else m.bias
+            own += [max(map(known.__getitem__, words)) if words else m.bias for words in part]
         import pandas as pd
 
         return pd.Series(m.score(np.array(own, float)))
