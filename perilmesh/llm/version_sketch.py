@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
 A text is the set of the digests of its paragraphs, cut after line ends and after
-sentence ends.  Its sketch has three tables of cells; each digest goes into one cell of each,
+sentence ends (and of word groups in its opening).  Its sketch has three tables of cells; each digest goes into one cell of each,
 adding to a count and combining by exclusive or into a key and a check sum.  The
 difference of two sketches holds exactly the digests that one text has and the other
 lacks; a cell with a single one of them gives it away, and taking it out lays others
@@ -24,11 +24,22 @@ from .common import Batches, cuts
 
 _CUT = re.compile(r"[.!?]\s+|\n")
 _FAR = -(1 << 63)
+#: The first paragraphs are also cut into groups of so many words.
+_OPENING, _GROUP = 3, 3
 
 
 def digests(text: str) -> set[int]:
-    """64-bit digests of the non-blank paragraphs of a text."""
-    return {xxhash.xxh3_64_intdigest(p) for p in map(str.strip, _CUT.split(text)) if p}
+    """64-bit digests of the non-blank paragraphs of a text, and of the word groups of its first ones.
+
+    The opening is taken more finely so that a text of one or two sentences still shares digests with
+    a version that is edited behind it.
+    """
+    pieces = [p for p in map(str.strip, _CUT.split(text)) if p]
+    out = set(map(xxhash.xxh3_64_intdigest, pieces))
+    for piece in pieces[:_OPENING]:
+        words = piece.split()
+        out.update(xxhash.xxh3_64_intdigest("\0" + " ".join(words[i : i + _GROUP])) for i in range(0, len(words), _GROUP))
+    return out
 
 
 def _check(key: int) -> int:
