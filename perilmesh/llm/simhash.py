@@ -168,9 +168,9 @@ def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
 def _led(batches: Batches, near: int, same: int) -> Batches:
     """Candidate pairs of rows (key, id, w0, w1) sorted by key and id.
 
-    At each key, documents go one by one: each is paired with the leaders within ``near`` bits
-    and becomes a leader itself unless one is within ``same`` bits.  So a group of
-    copies, however large, is paired with its few leaders only.
+    At each key, documents go one by one.  One within ``same`` bits of a leader is paired with the nearest
+    leader; any other is paired with all leaders within ``near`` bits and becomes a leader itself.  So
+    a group of copies, however large, makes as many pairs as it has members, and those between its few leaders.
     """
     at, leaders = None, np.empty((0, 3), np.int64)
     for b in batches:
@@ -186,8 +186,10 @@ def _led(batches: Batches, near: int, same: int) -> Batches:
                     at, leaders = keys[s], np.empty((0, 3), np.int64)
                 for row in rows[s:e]:
                     far = np.bitwise_count((leaders[:, 1:] ^ row[1:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    out += [(int(i), int(row[0])) for i in leaders[far <= near, 0]]
-                    if not (far <= same).any():
+                    if len(far) and far.min() <= same:
+                        out.append((int(leaders[far.argmin(), 0]), int(row[0])))
+                    else:
+                        out += [(int(i), int(row[0])) for i in leaders[far <= near, 0]]
                         leaders = np.vstack((leaders, row))
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -196,7 +198,7 @@ def _of_quarter(anchor_words: Column, quarter: int) -> Column:
     return F.transform(anchor_words, lambda x: x + F.lit(quarter << 32))
 
 
-def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, near: int = 26, same: int = 14) -> DataFrame:
+def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, near: int = 26, same: int = 16) -> DataFrame:
     """Links (a, b) of doc_ids whose texts' word shingles have a Jaccard similarity of ``least`` or more.
 
     Candidates come from anchors over the four 32-bit quarters of a 128-bit SimHash of words and
