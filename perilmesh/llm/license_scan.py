@@ -82,28 +82,33 @@ def template_index(templates: DataFrame) -> DataFrame:
     return templates.mapInArrow(run, "fingerprint long, license string, position long, shingle string")
 
 
+def slack(length: int) -> int:
+    """How far an alignment may leave a diagonal: short templates must not reach their next occurrence."""
+    return max(1, min(BAND, length // 3))
+
+
 def bands(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """(first, last) diagonal of each band from (document position, template position) hits.
 
-    Hits go together while neighbouring diagonals differ by at most ``BAND`` and,
-    in the document, the template may reach from one to the other.
+    Hits go together while neighbouring diagonals differ by at most the template's slack
+    and all of them by at most half its length.
     """
     out: list[list[int]] = []
     for diagonal in sorted({d - t for d, t in hits}):
-        if out and diagonal - out[-1][1] <= BAND and diagonal - out[-1][0] <= max(BAND, length // 2):
+        if out and diagonal - out[-1][1] <= slack(length) and diagonal - out[-1][0] <= max(slack(length), length // 2):
             out[-1][1] = diagonal
         else:
             out.append([diagonal, diagonal])
     return [(a, b) for a, b in out]
 
 
-def align(template: list[bytes], words: list[bytes], first: int, last: int) -> tuple[int, int, int]:
-    """Longest common subsequence inside the band of diagonals first - BAND to last + BAND.
+def align(template: list[bytes], words: list[bytes], first: int, last: int, margin: int = BAND) -> tuple[int, int, int]:
+    """Longest common subsequence inside the band of diagonals first - margin to last + margin.
 
     Returns the number of matched words and the first and last matched position
     in ``words`` (of the alignment that starts latest, then ends earliest).
     """
-    low, high = first - BAND, last + BAND
+    low, high = first - margin, last + margin
     # best (matches, start, -end) of alignments of template[:i] that end at or before a column
     before: dict[int, tuple[int, int, int]] = {}
     zero = (0, -1, 0)
@@ -159,8 +164,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, covera
                 for name, found in hits.items():
                     size = len(library[name])
                     for first, last in bands(found, size):
-                        start = max(0, first - BAND)
-                        rows.append((i, name, start, first - start, last - start, b" ".join(words[start : last + size + BAND]).decode()))
+                        start = max(0, first - slack(size))
+                        rows.append((i, name, start, first - start, last - start, b" ".join(words[start : last + size + slack(size)]).decode()))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "license", "start", "first", "last", "segment"])
@@ -171,7 +176,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, covera
             rows = []
             for i, name, start, first, last, segment in zip(*(b[c].to_pylist() for c in ("doc_id", "license", "start", "first", "last", "segment"))):
                 template = library[name]
-                n, low, high = align(template, segment.encode().split(b" "), first, last)
+                n, low, high = align(template, segment.encode().split(b" "), first, last, slack(len(template)))
                 if n and n >= coverage * len(template):
                     rows.append((i, name, n / len(template), n, start + low, start + high))
             columns = list(zip(*rows)) or [()] * 6
