@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,8 +91,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _with_workers(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``f``, with this package's folder on the path of Python workers, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, pipeline)}
+    return {f.__name__: _with_workers(f) for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
