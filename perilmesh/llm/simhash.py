@@ -166,32 +166,82 @@ def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
 
 
 def _led(batches: Batches, near: int, same: int) -> Batches:
-    """Candidate pairs of rows (key, id, w0, w1) sorted by key and id.
+    """First candidate pairs of rows (key, id, w0, w1) sorted by key and id, and what they leave open.
 
     At each key, documents go one by one.  One within ``same`` bits of a leader is paired with the nearest
     leader; any other is paired with all leaders within ``near`` bits and becomes a leader itself.  So
     a group of copies, however large, makes as many pairs as it has members, and those between its few leaders.
+    A group that has pairs besides these (three or more rows, not all of them leaders) is named
+    by rows (key, a = id of each member) without b: its other pairs are ``_across``'s.
     """
-    at, leaders = None, np.empty((0, 3), np.int64)
+    at, leaders, own = None, np.empty((0, 3), np.int64), []
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+
+    def left() -> list[tuple]:
+        return [(i, None, int(at)) for i in own] if len(own) > max(2, len(leaders)) else []
+
     for b in batches:
         keys = b["key"].to_numpy()
         rows = np.stack([b[c].to_numpy() for c in ("id", "w0", "w1")], axis=1)
-        out = []
+        out: list[tuple] = []
         if len(keys):
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             ends = np.append(starts[1:], len(keys))
             busy = (ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)
             for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
                 if keys[s] != at:
-                    at, leaders = keys[s], np.empty((0, 3), np.int64)
+                    out += left()
+                    at, leaders, own = keys[s], np.empty((0, 3), np.int64), []
                 for row in rows[s:e]:
+                    own.append(int(row[0]))
                     far = np.bitwise_count((leaders[:, 1:] ^ row[1:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                     if len(far) and far.min() <= same:
-                        out.append((int(leaders[far.argmin(), 0]), int(row[0])))
+                        out.append((int(leaders[far.argmin(), 0]), int(row[0]), None))
                     else:
-                        out += [(int(i), int(row[0])) for i in leaders[far <= near, 0]]
+                        out += [(int(i), int(row[0]), None) for i in leaders[far <= near, 0]]
                         leaders = np.vstack((leaders, row))
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], schema=kinds)
+    out = left()
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], schema=kinds)
+
+
+def _across(batches: Batches, near: int, width: int | None) -> Batches:
+    """Pairs within ``near`` bits and of unlike label, of rows (key, id, w0, w1, label) sorted by key.
+
+    Each row is paired with the ``width`` nearest of them at its key, with all if that is None.  A pair that
+    surely meets at an earlier quarter is left to that.
+    """
+
+    def pairs(key: int, rows: np.ndarray) -> Batches:
+        quarter, out, n = key >> 32, [], 0
+        for at, row in enumerate(rows):
+            others = rows[:at] if width is None else rows
+            bits = np.bitwise_count(np.ascontiguousarray(others[:, 1:3] ^ row[1:3]).view(np.uint32))
+            far = bits.sum(axis=1, dtype=np.int64)
+            met = np.flatnonzero((far <= near) & (others[:, 3] != row[3]) & ~(bits[:, :quarter] <= 2).any(axis=1))
+            if width is not None and len(met) > width:
+                met = met[np.argsort(far[met], kind="stable")[:width]]
+            ids = others[met, 0]
+            out.append(np.stack((np.minimum(ids, row[0]), np.maximum(ids, row[0])), axis=1))
+            n += len(ids)
+            if n > 100_000 or at + 1 == len(rows):
+                found = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in (0, 1)], ["a", "b"])
+                out, n = [], 0
+
+    at, own = None, []
+    for b in batches:
+        keys = b["key"].to_numpy()
+        rows = np.stack([b[c].to_numpy() for c in ("id", "w0", "w1", "label")], axis=1)
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
+        for s, e in zip(starts, [*starts[1:], len(keys)]):
+            if keys[s] != at:
+                if own:
+                    yield from pairs(at, np.concatenate(own))
+                at, own = int(keys[s]), []
+            own.append(rows[s:e])
+    if own:
+        yield from pairs(at, np.concatenate(own))
 
 
 def _of_quarter(anchor_words: Column, quarter: int) -> Column:
@@ -204,6 +254,10 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
     Candidates come from anchors over the four 32-bit quarters of a 128-bit SimHash of words and
     word pairs: texts that differ in at most 2 bits of a quarter meet (about 95 % of
     those with similarity 0.8, more of nearer ones).  Every link is checked on whole texts.
+
+    Not every pair that meets within ``near`` bits is checked, but each is either checked or within one component
+    of the links already found: leaders are checked with their members first, then, where groups
+    hold more, each document with the nearest ones outside its component, and last with all outside it.
     """
     kept = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
@@ -217,14 +271,30 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
     quarters = [F.col("w0").bitwiseAND(low), F.shiftrightunsigned("w0", 32), F.col("w1").bitwiseAND(low), F.shiftrightunsigned("w1", 32)]
     keys = F.concat(*(_of_quarter(anchors(q, 31), k) for k, q in enumerate(quarters)))
     met = wide.select("id", "w0", "w1", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "id")
-    pairs = staged(met.select("key", "id", "w0", "w1").mapInArrow(lambda b: _led(b, near, same), "a long, b long").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    led = staged(met.select("key", "id", "w0", "w1").mapInArrow(lambda b: _led(b, near, same), "a long, b long, key long").distinct(), "pairs")
+    pairs, crowds = led.where("b IS NOT NULL").select("a", "b"), led.where("b IS NULL").select("key", F.col("a").alias("id"))
+    ids = led.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
 
     def shingled(batches: Batches) -> Batches:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_hashes(t or b"", words_each) for t in binary(b["text"])], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     sets = staged(kept.join(ids, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles array<bigint>"), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return staged(both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), "checked")
+
+    found = checked(pairs)
+    for width in (8, None):
+        if crowds.isEmpty():
+            break
+        named = crowds.join(components(found), F.col("id") == F.col("member"), "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+        crowds = staged(named.join(split, "key", "left_semi"), "crowds")  # groups within one component are done
+        rows = crowds.join(wide, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "w0", "w1", "label")
+        new = staged(rows.mapInArrow(lambda b, width=width: _across(b, near, width), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs, crowds = pairs.unionByName(new), crowds.select("key", "id")
+        found = found.unionByName(checked(new))
+    return found

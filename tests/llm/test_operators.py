@@ -335,6 +335,32 @@ def test_similar_documents(spark):
     assert sum(c % 3 == 0 for c in got.values()) >= 0.9 * len(got)
 
 
+def test_chains_of_near_copies_against_all_pairs(spark):
+    """Groups of hundreds in which each text is similar to its neighbours only; ids in any order."""
+    from perilmesh.llm.simhash import near_duplicates, shingle_hashes, wide_fingerprint
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in (250, 100):
+        own = [word() for _ in range(300)]
+        for _ in range(n):
+            for p in rng.sample(range(300), 4):
+                own[p] = word()
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    sets = [set(shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    wide = [[h >> at & (1 << 32) - 1 for h in wide_fingerprint(t.encode()) for at in (0, 32)] for t in texts]
+    bits = lambda i, j: [(x ^ y).bit_count() for x, y in zip(wide[i], wide[j])]
+    meet = [(i, j) for i, j in alike if min(bits(i, j)) <= 2 and sum(bits(i, j)) <= 26]
+    assert len(meet) > 0.9 * len(alike)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity=0.8).collect()}
+    whole = linked(range(len(texts)), alike)
+    assert [(i, j) for i, j in meet if got[i] != got[j]] == []
+    assert all(whole[i] == whole[c] for i, c in got.items())
+
+
 def test_components_of_a_long_chain(spark):
     from perilmesh.llm.components import components
 
