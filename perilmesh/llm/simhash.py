@@ -263,10 +263,13 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
 
     def sketch(batches: Batches) -> Batches:
         for b in batches:
-            found = np.array([wide_fingerprint(t or b"") for t in binary(b["text"])], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "w0", "w1"])
+            texts = [t or b"" for t in binary(b["text"])]
+            found = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            same_words = pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found[:, 0]), pa.array(found[:, 1]), same_words], ["id", "w0", "w1", "words"])
 
-    wide = staged(kept.mapInArrow(sketch, "id long, w0 long, w1 long").groupBy("w0", "w1").agg(F.min("id").alias("id")), "wide")
+    # texts of the same words in order have equal fingerprints, which link them; all others go on, even under one hash
+    wide = staged(kept.mapInArrow(sketch, "id long, w0 long, w1 long, words binary").groupBy("w0", "w1", "words").agg(F.min("id").alias("id")).drop("words"), "wide")
     low = F.lit((1 << 32) - 1)
     quarters = [F.col("w0").bitwiseAND(low), F.shiftrightunsigned("w0", 32), F.col("w1").bitwiseAND(low), F.shiftrightunsigned("w1", 32)]
     keys = F.concat(*(_of_quarter(anchors(q, 31), k) for k, q in enumerate(quarters)))

@@ -361,6 +361,19 @@ def test_chains_of_near_copies_against_all_pairs(spark):
     assert all(whole[i] == whole[c] for i, c in got.items())
 
 
+def test_similar_texts_of_an_equal_wide_hash(spark):
+    """A passage repeated more or less often: the same words and pairs, so one 128-bit hash."""
+    from perilmesh.llm.simhash import similar_links, wide_fingerprint
+
+    p, q = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    texts = [" ".join((p, p, q, p, *[q, p] * n)) for n in (0, 2, 4)]
+    assert len({wide_fingerprint(t.encode()) for t in texts}) == 1
+    texts = [*texts, texts[1].upper()]  # the last is a copy, which equal fingerprints link
+    found = similar_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert linked(range(3), [(r.a, r.b) for r in found]) == {0: 0, 1: 0, 2: 0}
+    assert all(3 not in (r.a, r.b) for r in found)
+
+
 def test_components_of_a_long_chain(spark):
     from perilmesh.llm.components import components
 
