@@ -111,7 +111,8 @@ def solve(cohorts: DataFrame, *, capital: float, nonrenew_share: float, cession:
     come to the driver.  Prices follow the excess (subgradient with a shrinking relative
     step); the most profitable choice within all budgets is kept.  The coefficient table is checkpointed once.
     status is Optimal if a feasible choice is within ``tolerance`` of the dual bound, Feasible
-    if there is one, else Infeasible (objective None).
+    if there is one.  Else (objective None) it is Infeasible if the choice that uses least of a budget
+    exceeds that budget, and Undecided if not: then no round happened to meet all three.
     """
     coef = coefficients(cohorts).persist()
     tiv = cohorts.agg(money_sum("total_tiv")).first()[0] or 0.0
@@ -131,6 +132,9 @@ def solve(cohorts: DataFrame, *, capital: float, nonrenew_share: float, cession:
         prices = [max(0.0, p + step * m * (u - b) / max(b, u, 1e-9)) for p, m, u, b in zip(prices, unit, used, budgets)]
     if best is None:
         zero = cohorts.select("cohort_id", F.lit(None).cast("string").alias("action"))
-        return Solution("Infeasible", None, tuple(prices), zero)
+        each = coef.groupBy("cohort_id").agg(*(F.min(c).alias(c) for c in ("capital", "cession", "nonrenew")))
+        fewest = [x or 0.0 for x in each.agg(*(money_sum(c) for c in ("capital", "cession", "nonrenew"))).first()]
+        proven = any(u > b * (1 + 1e-12) for u, b in zip(fewest, budgets))
+        return Solution("Infeasible" if proven else "Undecided", None, tuple(prices), zero)
     status = "Optimal" if bound - best[0] <= tolerance * max(1.0, abs(bound)) else "Feasible"
     return Solution(status, best[0], best[1], best_actions(coef, *best[1]).select("cohort_id", "action"))

@@ -161,7 +161,7 @@ def o8_sensitivity(spark, d):
     rows = []
     for a in (0.7, 1.0, 1.5):
         for b in (0.7, 1.0, 1.5):
-            s = D.solve(c, capital=0.4 * p99 * a, nonrenew_share=0.2 * b, cession=0.05 * p99, rounds=6)
+            s = D.solve(c, capital=0.4 * p99 * a, nonrenew_share=0.2 * b, cession=0.05 * p99)
             rows.append((a, b, s.status, s.objective))
     return spark.createDataFrame(rows, "capital double, nonrenew double, status string, objective double")
 

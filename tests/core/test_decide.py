@@ -24,6 +24,14 @@ def test_solver_is_near_the_best_mix(spark):
     assert D.solve(cohorts, capital=-1.0, cession=0.0, nonrenew_share=0.0, rounds=3).status == "Infeasible"
 
 
+def test_a_cut_search_is_no_proof(spark):
+    from perilmesh.operators import decide as D
+
+    cohorts = spark.createDataFrame([("a", 1e6, 2e4, 5e3), ("b", 1e6, 2e4, 4e3)], "cohort_id string, total_tiv double, total_premium double, loss_p50 double").withColumn("loss_p99", F.col("loss_p50") * 7.2)
+    how = dict(capital=0.5 * 9e3 * 7.2, cession=0.05 * 9e3 * 7.2, nonrenew_share=1.0)
+    assert D.solve(cohorts, rounds=1, **how).status == "Undecided"  # non-renewing all meets the budgets
+
+
 def test_caps_defer_smallest_first(spark):
     from perilmesh.operators.decide import territory_caps
 
