@@ -1,27 +1,24 @@
-"""Toxicity by a support vector machine on a gapped-subsequence string kernel.
-
-The kernel of two words is the sum over their common subsequences of three
-characters (word ends included), each occurrence weighing ``DECAY`` to the power of the
-characters it spans, up to ``SPAN``; it is scaled by what all occurrences of a word
-of that length could weigh.  So a word that has the letters of an insult in
-order, with some inserted or left out, is still near it.
-
-Training is Nyström's: landmarks are drawn from the words of labelled sentences,
-words are mapped by the inverse root of the landmarks' kernel matrix, and a linear
-SVM (squared hinge) is trained there.  A sentence of a toxic document is toxic if it
-is the document's witness, the sentence with its most telling word; all sentences of
-other documents are not.  A sentence's score is that of its highest word, a
-document's that of its highest sentence.  For scoring, landmarks and machine collapse into one
-weight per character triple, as the kernel is linear in its subsequences.
+"""Toxicity by a support vector machine on a gapped-subsequence string kernel of sentences.
+
+Sentences are read as overlapping spans of ``WORDS`` words.  The kernel of two spans is the sum
+over their common subsequences of three and four characters, spaces included, each occurrence
+weighing ``DECAY`` to the power of the characters it spans (``SPAN`` at most), scaled by
+the roots of the spans' lengths.  So a span that has the letters of an insult in
+order, with some put in or left out, or with a space inside, is still near it.
+
+Labels are of documents, so training finds the sentence that bears witness: it begins with the span
+of each toxic document whose subsequences have the highest log odds, and from then on takes the
+one that the machine of the last round values highest.  Negatives are spans of clean documents, joined after each
+round by those that the machine took for toxic.  A machine is Nyström's: spans are mapped by the
+inverse root of the landmarks' kernel matrix, landmarks being spans of both kinds, and a linear SVM
+(squared hinge) is trained there.  A document scores as its highest span.  For scoring, landmarks and
+machine collapse into one weight per character tuple, as the kernel is linear in its subsequences.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,80 +27,158 @@ from pyspark.sql import functions as F
 
 from .common import Batches, held_out, small_rows
 
-DECAY, SPAN, LENGTH = 0.8, 7, 32
-_SPELLED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
-_MARKS = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"[.!?\n]+")
-_KNOWN = 150_000  # words whose scores a worker keeps
+WORDS, SPAN, DECAY = 2, 6, 0.7
+#: Classes of characters: 0 space, 1 to 26 letters a to z, 27 digits, 28 to 42 other letters by code point, 43 the end of a sentence.
+_CLASSES, _END, _MARK = 44, 43, 255
+_OFFSETS = [(0, *rest) for p in (3, 4) for rest in combinations(range(1, SPAN), p - 1)]
+_BASE = {3: 0, 4: _CLASSES**3}
+_SIZE = _CLASSES**3 + _CLASSES**4
+_BLOCK, _OVERLAP = 1 << 18, 256
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-cased words without marks; letters spelled out singly are joined too."""
-    text = text.lower()
-    found = set(text.split())
-    if _SPELLED.search(text):
-        found.update(m.replace(" ", "") for m in _SPELLED.findall(text))
-    return found
+def _class_of(code: int) -> int:
+    c = chr(code)
+    if c.isspace():
+        return 0
+    if "a" <= c <= "z":
+        return 1 + code - 97
+    return 28 + code % 15 if c.isalpha() else 27 if c.isdigit() else _MARK
 
 
-def _bare(word: str) -> str:
-    return word if word.isalnum() else _MARKS.sub("", word)
+_KNOWN = np.array([_class_of(c) for c in range(0x3000)], np.uint8)
 
 
-@lru_cache(maxsize=64)
-def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Position triples of a string of n characters within SPAN, and their weights, scaled to norm 1."""
-    at = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
-    at = np.array(at, np.int64).reshape(-1, 3)
-    w = DECAY ** (at[:, 2] - at[:, 0] - 2).astype(float)
-    return at, w / (np.sqrt((w * w).sum()) or 1.0)
-
-
-def _pieces(word: str) -> list[str]:
-    """A word with its ends; longer ones than LENGTH in overlapping pieces."""
-    whole = f"\x02{word}\x03"
-    return [whole] if len(whole) <= LENGTH else [whole[i : i + LENGTH] for i in range(0, len(whole) - LENGTH // 2, LENGTH // 2)]
+@dataclass
+class Spans:
+    """Spans of some texts: character classes, and where each span begins, ends, and to which text it belongs."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+
+
+def spans(texts: list[str]) -> Spans:
+    """Spans of texts.  A sentence ends at a line end, or at one of ``.!?`` before white space; other marks inside words are left out."""
+    lower = [t.lower() for t in texts]
+    cp = np.frombuffer("\n".join(["", *lower, ""]).encode("utf-32-le", "replace"), np.uint32)
+    owner = np.repeat(np.arange(-1, len(lower)), [1, *(len(t) + 1 for t in lower)])
+    c = np.where(cp < 0x3000, _KNOWN[np.minimum(cp, 0x2FFF)], 28 + cp % 15).astype(np.uint8)
+    stop = (cp == 46) | (cp == 33) | (cp == 63)
+    sentence = (cp == 10) | ((c == 0) & np.concatenate(([False], stop[:-1])))
+    kept = c != _MARK
+    c, sentence, owner = c[kept], sentence[kept], owner[kept]
+    space = c == 0
+    first = space & np.concatenate(([True], ~space[:-1]))  # a run of spaces is one, and a sentence's end if any of it is
+    ended = np.zeros(np.count_nonzero(first), bool)
+    ended[(np.cumsum(first) - 1)[space & sentence]] = True
+    kept = ~space | first
+    c, owner, end = c[kept], owner[kept], np.zeros(np.count_nonzero(kept), bool)
+    end[c == 0] = ended
+    # behind a sentence's last space there are so many end marks that no tuple reaches the next one, which begins with a space
+    room = np.where(end, 1 + SPAN, 1)
+    at = np.cumsum(room) - room
+    codes = np.full(int(room.sum()) + SPAN, _END, np.uint8)
+    codes[at] = c
+    codes[at[end] + SPAN] = 0
+    words = np.flatnonzero((codes[:-1] == 0) & (codes[1:] != 0) & (codes[1:] != _END))
+    closes = np.flatnonzero((codes[:-1] == 0) & (codes[1:] == _END)) + 1
+    if not len(words):
+        return Spans(codes, words, words, words)
+    own = np.searchsorted(closes, words, side="right")  # the sentence of each word
+    last = closes[own]
+    begins = np.concatenate(([True], own[1:] != own[:-1]))
+    nth = np.arange(len(words)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    ahead = np.concatenate((words[WORDS:], np.full(min(WORDS, len(words)), 1 << 60)))
+    same = np.concatenate((own[WORDS:] == own[:-WORDS], np.zeros(min(WORDS, len(words)), bool)))
+    ends = np.where(same, ahead, last)
+    whole = np.concatenate((own[WORDS - 1 :] == own[: len(own) - WORDS + 1], np.zeros(min(WORDS - 1, len(words)), bool)))
+    taken = whole | (nth == 0)  # a sentence of fewer words is one span
+    of = np.minimum(np.searchsorted(at, words[taken] + 1, side="right") - 1, len(owner) - 1)
+    return Spans(codes, words[taken], ends[taken], owner[of])
+
+
+def _tuples(codes: np.ndarray, n: int):
+    """(table positions, weight) of the tuples that start at the first n places, one shape at a time."""
+    c = codes.astype(np.int32)
+    for offsets in _OFFSETS:
+        x = c[:n]
+        for d in offsets[1:]:
+            x = x * _CLASSES + c[d : n + d]
+        yield x + _BASE[len(offsets)], DECAY ** (offsets[-1] - len(offsets) + 1)
 
 
 @dataclass
 class ToxicityModel:
-    alphabet: dict[str, int]  # 0 is any other character
-    table: np.ndarray  # weight of each triple
+    table: np.ndarray  # weight of each tuple; those with an end mark weigh nothing
     bias: float
-    slope: float  # of the logistic curve that turns values into scores
-    middle: float
-
-    def values(self, words: list[str]) -> np.ndarray:
-        """Values of the machine for words, those of equal length together."""
-        out = np.full(len(words), self.bias)
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for i, word in enumerate(words):
-            for piece in _pieces(_bare(word)):
-                by_length.setdefault(len(piece), []).append((i, piece))
-        a, size = self.alphabet.get, len(self.alphabet) + 1
-        for n, own in by_length.items():
-            at, w = _places(n)
-            if not len(at):
-                continue
-            codes = np.array([[a(c, 0) for c in piece] for _, piece in own], np.int64)
-            found = np.full(len(own), self.bias)
-            for (i, j, k), weight in zip(at, w):
-                found += weight * self.table[(codes[:, i] * size + codes[:, j]) * size + codes[:, k]]
-            np.maximum.at(out, [i for i, _ in own], found)
-        return out
+    cut: float = 0.0  # the value that scores 0.3
+    slope: float = 4.0
+
+    def values(self, s: Spans) -> np.ndarray:
+        """The machine's value of each span."""
+        if not len(s.starts):
+            return np.zeros(0)
+        n = len(s.codes) - SPAN
+        v = np.zeros(n + 1)
+        for at, weight in _tuples(s.codes, n):
+            v[1:] += np.float32(weight) * self.table[at]
+        total = np.cumsum(v)
+        return (total[s.ends] - total[s.starts]) / np.sqrt(s.ends - s.starts) + self.bias
+
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """The highest span value of each whole text (the bias, if it has no span), a bounded block of characters at a time."""
+        out = np.full(len(texts), -np.inf)
+        block, owner, held = [], [], 0
+
+        def flush() -> None:
+            nonlocal block, owner, held
+            if block:
+                s = spans(block)
+                np.maximum.at(out, np.array(owner)[s.owner], self.values(s))
+            block, owner, held = [], [], 0
+
+        for i, text in enumerate(texts):
+            text = text or ""
+            for part in _parts(text):
+                block.append(part)
+                owner.append(i)
+                held += len(part)
+                if held >= _BLOCK:
+                    flush()
+        flush()
+        return np.where(np.isneginf(out), self.bias, out)
 
     def score(self, value) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (np.asarray(value) - self.middle), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (np.asarray(value) - self.cut) + np.log(0.3 / 0.7), -40, 40)))
 
 
-def _codes(words: list[str], alphabet: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Triple codes and weights of each word (its first piece)."""
-    size, out = len(alphabet) + 1, []
-    for word in words:
-        c = np.array([alphabet.get(x, 0) for x in _pieces(word)[0]], np.int64)
-        at, w = _places(len(c))
-        out.append(((c[at[:, 0]] * size + c[at[:, 1]]) * size + c[at[:, 2]], w))
-    return out
+def _parts(text: str):
+    """A text in pieces of ``_BLOCK`` characters that begin at white space and overlap, so that no span is lost."""
+    at = 0
+    while len(text) - at > _BLOCK:
+        yield text[at : at + _BLOCK]
+        back = max(text.rfind(c, at + 1, at + _BLOCK - _OVERLAP) for c in " \n")
+        at = back if back > at + _BLOCK // 2 else at + _BLOCK - _OVERLAP
+    yield text[at:]
+
+
+def _features(codes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table positions and weights of the tuples of one span, scaled by the root of its length."""
+    n = end - start
+    own = codes[start : end + SPAN]
+    at, w = zip(*_tuples(own, n))
+    free = [~((own[:n] == _END) | np.logical_or.reduce([own[d : n + d] == _END for d in o[1:]])) for o in _OFFSETS]
+    return np.concatenate([x[f] for x, f in zip(at, free)]), np.concatenate([np.full(np.count_nonzero(f), y) for y, f in zip(w, free)]) / np.sqrt(n)
+
+
+def kernel(a: str, b: str) -> float:
+    """The kernel of two texts of one span each."""
+    total: dict[int, float] = {}
+    (x, y) = ((_features(s.codes, int(s.starts[0]), int(s.ends[0]))) for s in (spans([a]), spans([b])))
+    for k, w in zip(*x):
+        total[int(k)] = total.get(int(k), 0.0) + w
+    return float(sum(total.get(int(k), 0.0) * w for k, w in zip(*y)))
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -120,139 +195,105 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rou
     return v
 
 
-def _witnessed(text: str) -> list[set[str]]:
-    """Words of each sentence of a text."""
-    return [words_of(s) for s in _SENTENCE.split(text)]
+def _without_ends(table: np.ndarray) -> np.ndarray:
+    three, four = table[: _BASE[4]].reshape((_CLASSES,) * 3), table[_BASE[4] :].reshape((_CLASSES,) * 4)
+    for t in (three, four):
+        for axis in range(t.ndim):
+            t[(slice(None),) * axis + (_END,)] = 0
+    return table
 
 
-def _telling_words(held: list[set[str]], in_good: Counter, good: int) -> set[str]:
-    """Words that tell the toxic documents from the others.
+def _first_table(bad: list[Spans], good: list[Spans]) -> np.ndarray:
+    """Log odds of four-character tuples, by documents that have them, times the root of their number; none below 0."""
 
-    Greedily the word with the highest log odds times root of count, among documents that no
-    word explains yet; then all words that tell nearly as much as the chosen ones
-    do in the median.  A document's witness is the sentence with such a word.
-    """
+    def counts(docs: list[Spans]) -> np.ndarray:
+        n = np.zeros(_SIZE, np.float32)
+        for d in docs:
+            size = len(d.codes) - SPAN
+            n[np.unique(np.concatenate([at for (at, _), o in zip(_tuples(d.codes, size), _OFFSETS) if len(o) == 4]))] += 1
+        return n
 
-    def telling(counts: Counter) -> dict[str, float]:
-        return {w: np.sqrt(n) * (np.log((n + 0.1) / (len(held) + 1)) - np.log((in_good[w] + 0.1) / (good + 1))) for w, n in counts.items()}
+    b, g = counts(bad), counts(good)
+    odds = np.log((b + 0.5) / (len(bad) + 1)) - np.log((g + 0.5) / (len(good) + 1))
+    return _without_ends(np.where((odds > 0) & (b > 1), odds * np.sqrt(b), 0).astype(np.float32))
 
-    counts = Counter(w for words in held for w in words)
-    first, left, chosen = telling(counts), list(held), []
-    while left:
-        rest = telling(Counter(w for words in left for w in words))
-        best = max(rest, key=lambda w: (rest[w], w), default=None)
-        if best is None or rest[best] <= 0:
-            break
-        covered = [words for words in left if best in words]
-        if chosen and len(covered) < max(2, len(held) // 500):
-            break
-        chosen.append(best)
-        left = [words for words in left if best not in words]
-    bar = 0.5 * float(np.median([first[w] for w in chosen])) if chosen else 0.0
-    return {w for w in {*chosen, *(w for w, x in first.items() if x >= bar and in_good[w] == 0)} if first[w] > 0}
-
-
-def _apart(texts: list[str]) -> list[str]:
-    """Texts without near copies: of those whose three-word shingles share a least hash one stays."""
-    seen, out = set(), []
-    for text in texts:
-        words = text.lower().split()
-        shingles = np.array([zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])] or [zlib.crc32(text.encode())], np.uint64)
-        least = [(k, int(((shingles + np.uint64(k)) * np.uint64(odd) >> np.uint64(20) & np.uint64(0xFFFFFFFF)).min())) for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))]
-        if not seen.intersection(least):
-            out.append(text)
-        seen.update(least)
+
+Example = tuple[np.ndarray, int, int, float]  # codes, start, end, value
+
+
+def _best(docs: list[Spans], model: ToxicityModel, most: int, above: float = -np.inf) -> list[Example]:
+    """The ``most`` highest spans of each document that are above a value."""
+    out = []
+    for d in docs:
+        v = model.values(d)
+        out += [(d.codes, int(d.starts[i]), int(d.ends[i]), float(v[i])) for i in np.argsort(-v, kind="stable")[:most] if v[i] > above]
     return out
 
 
-def _fit_words(toxic: list[str], clean: list[str], hard: list[str], landmarks: int, ridge: float, alphabet: dict[str, int]) -> ToxicityModel:
-    """One machine on words: Nyström features from landmarks, then the SVM."""
-    rng = np.random.default_rng(len(toxic))
-    letters = [c for c in alphabet if c.isalpha()]
-    # virtual examples: each insult with a letter put in
-    twisted = [w[:i] + letters[int(rng.integers(len(letters)))] + w[i:] for w in toxic if len(w) > 4 for i in rng.integers(1, len(w), 4)]
-    words = toxic + twisted + hard + clean
-    y = np.array([1.0] * (len(toxic) + len(twisted)) + [-1.0] * (len(hard) + len(clean)))
-    weight = np.concatenate((np.full(len(toxic), 0.3 / len(toxic)), np.full(len(twisted), 0.2 / max(1, len(twisted))), np.full(len(hard) + len(clean), 0.5 / max(1, len(hard) + len(clean))))) * 1000
-    marks = toxic[: landmarks // 2]
-    marks += hard[: (landmarks - len(marks)) // 2]
-    marks += clean[: landmarks - len(marks)]
-    coded, marked, size = _codes(words, alphabet), _codes(marks, alphabet), len(alphabet) + 1
-    columns = np.unique(np.concatenate([c for c, _ in marked]))
-    phi = np.zeros((len(marks), len(columns) + 1))  # the last column takes what no landmark has
-    for row, (c, w) in zip(phi, marked):
-        np.add.at(row, np.searchsorted(columns, c), w)
-    value, vector = np.linalg.eigh(phi @ phi.T)
-    kept = value > 1e-6 * value[-1]
+def _machine(positive: list[Example], negative: list[Example], hard: list[Example], landmarks: int, ridge: float, rng) -> ToxicityModel:
+    """Nyström features from landmarks of all three kinds, then the SVM, collapsed to a table."""
+    pick = lambda x, n: [x[i] for i in rng.permutation(len(x))[:n]]
+    marks = pick(positive, landmarks // 2) + pick(hard, landmarks // 4)
+    marks += pick(negative, landmarks - len(marks))
+    found = [_features(*m[:3]) for m in marks]
+    columns, place = np.unique(np.concatenate([at for at, _ in found]), return_inverse=True)
+    phi, done = np.zeros((len(columns) + 1, len(marks)), np.float32), 0  # the last row takes what no landmark has
+    for k, (at, w) in enumerate(found):
+        np.add.at(phi[:, k], place[done : done + len(at)], w)
+        done += len(at)
+    value, vector = np.linalg.eigh((phi.T @ phi).astype(float))
+    kept = value > 1e-5 * value[-1]
     root = vector[:, kept] / np.sqrt(value[kept])
-    by_column = np.ascontiguousarray(phi.T)
-    x = np.zeros((len(words), len(marks)))
-    for row, (c, w) in zip(x, coded):
-        at = np.minimum(np.searchsorted(columns, c), len(columns) - 1)
-        row += w @ by_column[np.where(columns[at] == c, at, len(columns))]
-    v = _fit_svm(x @ root, y, weight, ridge)
-    table = np.zeros(size**3)
-    table[columns] = (root @ v[:-1]) @ phi[:, :-1]
-    return ToxicityModel(alphabet, table, float(v[-1]), 1.0, 0.0)
-
-
-def _tops(model: ToxicityModel, texts: list[str]) -> np.ndarray:
-    """The highest word value of each text."""
-    own = [words_of(t) for t in texts]
-    every = sorted(set().union(*own))
-    value = dict(zip(every, model.values(every).tolist()))
-    return np.array([max((value[w] for w in words), default=model.bias) for words in own])
-
-
-def train(labelled: list[tuple[str, int]], *, landmarks: int = 512, ridge: float = 0.1, negatives: int = 3000, rounds: int = 3, seed: int = 0) -> ToxicityModel:
-    """Train on (text, toxic 0/1) of a bounded sample; with one class only, scores are constant.
-
-    Near copies are left out.  A quarter of the texts only sets the curve of scores.  After each
-    round the clean words that the machine takes for toxic join the negatives.
+    lookup = np.full(_SIZE, len(columns), np.int32)
+    lookup[columns] = np.arange(len(columns))
+    examples = positive + negative + hard
+    y = np.array([1.0] * len(positive) + [-1.0] * (len(negative) + len(hard)))
+    x = np.zeros((len(examples), len(marks)), np.float32)
+    for row, e in zip(x, examples):
+        at, w = _features(*e[:3])
+        at = lookup[at]
+        shared = at < len(columns)
+        row[:] = w[shared].astype(np.float32) @ phi[at[shared]]
+    weight = np.where(y > 0, 500 / len(positive), 500 / max(1, len(negative) + len(hard)))
+    v = _fit_svm(x.astype(float) @ root, y, weight, ridge)
+    table = np.zeros(_SIZE, np.float32)
+    table[columns] = phi[:-1] @ (root @ v[:-1])
+    return ToxicityModel(_without_ends(table), float(v[-1]))
+
+
+def train(good: list[Spans], bad: list[Spans], *, landmarks: int = 512, ridge: float = 0.1, rounds: int = 4, negatives: int = 4000, hard_most: int = 4000, clean_above: float = 0.015, seed: int = 0) -> ToxicityModel:
+    """Train on the spans of clean and of toxic documents; with one class only, scores are constant.
+
+    ``negatives`` spans of clean documents are drawn, and up to ``hard_most`` of the highest valued
+    ones join them.  A quarter of the clean documents (if there are 40 or more) is not trained on and sets
+    where scores reach 0.3: ``clean_above`` of them are above it.
     """
-    good, bad = (_apart([t for t, y in labelled if bool(y) == toxic]) for toxic in (False, True))
+    good, bad = [g for g in good if len(g.starts)], [b for b in bad if len(b.starts)]
     if not bad or not good:
-        return ToxicityModel({}, np.zeros(1), 0.0, 40.0 if bad else 1.0, -1.0 if bad else 40.0)
-    judge_good, judge_bad = (good[::4], bad[::4]) if min(len(good), len(bad)) >= 40 else (good, bad)
-    if min(len(good), len(bad)) >= 40:
-        good, bad = ([t for i, t in enumerate(x) if i % 4] for x in (good, bad))
-    in_good = Counter(w for t in good for w in {_bare(x) for x in words_of(t)} if w)
-    toxic = sorted(_telling_words([{_bare(x) for s in _witnessed(t) for x in s} - {""} for t in bad], in_good, len(good)))
-    if not toxic:
-        return ToxicityModel({}, np.zeros(1), 0.0, 1.0, 40.0)
+        return ToxicityModel(np.zeros(_SIZE, np.float32), 1.0 if bad else -1.0, 0.0, 40.0)
+    judge = good[::4] if len(good) >= 40 else good
+    if len(good) >= 40:
+        good = [g for i, g in enumerate(good) if i % 4]
     rng = np.random.default_rng(seed)
-    common = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0])) if w not in toxic]
-    rest = common[negatives // 2 :]
-    clean = [w for pair in zip(common[: negatives // 2], [rest[i] for i in rng.permutation(len(rest))]) for w in pair] or common
-    toxic = [toxic[i] for i in rng.permutation(len(toxic))]
-    used = Counter(c for w in toxic + clean for c in w)
-    alphabet = {c: i + 1 for i, c in enumerate(["\x02", "\x03", *(c for c, _ in sorted(used.items(), key=lambda x: (-x[1], x[0]))[:90])])}
-    hard: list[str] = []
+    each = -(-negatives // len(good))
+    negative = [(g.codes, int(g.starts[i]), int(g.ends[i]), 0.0) for g in good for i in rng.permutation(len(g.starts))[:each]]
+    model, hard = ToxicityModel(_first_table(bad, good), 0.0), []
     for _ in range(rounds):
-        model = _fit_words(toxic, clean, hard, landmarks, ridge, alphabet)
-        value = model.values(common)
-        wrong = [common[i] for i in np.argsort(-value, kind="stable")[:500] if value[i] > -0.8]
-        if not set(wrong).difference(hard):
-            break
-        hard = list(dict.fromkeys([*wrong, *hard]))
-    low, high = np.sort(_tops(model, judge_good)), np.sort(_tops(model, judge_bad))
-    # a clean text that is taken for toxic weighs four times a toxic one that is missed
-    cuts = np.unique(np.concatenate((low, high)))
-    middles = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-    errors = np.searchsorted(high, middles) / len(high) + 4 * (len(low) - np.searchsorted(low, middles)) / len(low)
-    best = np.flatnonzero(errors == errors.min())
-    cut = float(middles[best[int(np.argmax(np.diff(cuts)[best]))]]) if len(cuts) > 1 else float(cuts[0])
-    model.slope = 4.0
-    model.middle = cut + float(np.log(0.7 / 0.3)) / model.slope
+        model = _machine(_best(bad, model, 1), negative, hard, landmarks, ridge, rng)
+        wrong = sorted(_best(good, model, 5, -0.5), key=lambda e: -e[3])
+        hard = (wrong + hard)[:hard_most]
+    tops = np.array([e[3] for e in _best(judge, model, 1)])
+    model.cut = float(np.clip(np.quantile(tops, 1 - clean_above), -0.2, 0.3))
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, **how) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, longest: int = 20_000, **how) -> ToxicityModel:
     """Train on documents that are not held out and have a toxic label.
 
-    Of each label about ``sample`` documents are taken, drawn by hash of the doc_id (all, if there
-    are fewer), and come to the driver: the sample, not the corpus, bounds
-    that.  Several labels of a document count as toxic if one is.
+    Of each label about ``sample`` documents of at most ``longest`` characters are taken, drawn by hash of
+    the doc_id (all, if there are fewer); these two parameters bound what comes to the driver (at most
+    about 2 * sample * longest characters, cut into spans by the tasks).  Several labels of a document count as toxic if one is; a null
+    label is none, and a row without a doc_id is not trained on.  Equal texts are taken once.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -262,47 +303,39 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, **ho
     if ids is None:
         raise ValueError("the hash drew far more documents than asked for")
     if not ids:
-        return train([])
+        return train([], [])
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in ids], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))], **how)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest).select("doc_id", "toxic", "text")
+
+    def cut(batches: Batches) -> Batches:
+        for b in batches:
+            found = [spans([t]) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], b["toxic"], pa.array([s.codes.tobytes() for s in found], pa.binary()), pa.array([s.starts.astype(np.int32).tobytes() for s in found], pa.binary()), pa.array([s.ends.astype(np.int32).tobytes() for s in found], pa.binary())],
+                ["doc_id", "toxic", "codes", "starts", "ends"],
+            )
+
+    got = rows.mapInArrow(cut, "doc_id long, toxic int, codes binary, starts binary, ends binary").dropDuplicates(["toxic", "codes"]).collect()
+    kinds: tuple[list[Spans], list[Spans]] = ([], [])
+    for r in sorted(got, key=lambda r: (r["codes"], r["toxic"])):
+        starts, ends = (np.frombuffer(r[k], np.int32).astype(np.int64) for k in ("starts", "ends"))
+        kinds[r["toxic"]].append(Spans(np.frombuffer(r["codes"], np.uint8), starts, ends, np.zeros(len(starts), np.int64)))
+    return train(*kinds, **how)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3) -> DataFrame:
     """``docs`` (with text) and toxicity_score (0 to 1) and toxic_predicted of each whole text.
 
-    Null and empty texts score as the machine's bias, as a text without words.
+    Null and empty texts, and those without a letter or digit, score as the machine's bias.  Columns of
+    these two names are replaced.
     """
     docs = docs.drop("toxicity_score", "toxic_predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts):
-        m = sent.value
-        known = _scores(m)
-        own: list[float] = []
-        for at in range(0, len(texts), 200):  # the word sets of a few texts at a time
-            part = [words_of(t) if t else set() for t in texts.iloc[at : at + 200]]
-            new = list(set().union(*part).difference(known))
-            if len(known) + len(new) > _KNOWN:
-                known.clear()
-                new = list(set().union(*part))
-            known.update(zip(new, m.values(new).tolist()))
-            own += [max(map(known.__getitem__, words)) if words else m.bias for words in part]
         import pandas as pd
 
-        return pd.Series(m.score(np.array(own, float)))
+        return pd.Series(sent.value.score(sent.value.of_texts(texts.tolist())))
 
     return docs.withColumn("toxicity_score", score("text")).withColumn("toxic_predicted", (F.col("toxicity_score") >= threshold).cast("int"))
-
-
-_CACHE: dict[int, dict[str, float]] = {}
-
-
-def _scores(model: ToxicityModel) -> dict[str, float]:
-    """The worker's word values for the model it has at hand."""
-    key = hash((model.bias, model.slope, float(model.table.sum())))
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = {}
-    return _CACHE[key]
