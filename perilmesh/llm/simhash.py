@@ -165,139 +165,196 @@ def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
     return np.sort(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)).view(np.int64))
 
 
-def _led(batches: Batches, near: int, same: int) -> Batches:
-    """First candidate pairs of rows (key, id, w0, w1) sorted by key and id, and what they leave open.
-
-    At each key, documents go one by one.  One within ``same`` bits of a leader is paired with the nearest
-    leader; any other is paired with all leaders within ``near`` bits and becomes a leader itself.  So
-    a group of copies, however large, makes as many pairs as it has members, and those between its few leaders.
-    A group that has pairs besides these (three or more rows, not all of them leaders) is named
-    by rows (key, a = id of each member) without b: its other pairs are ``_across``'s.
+_BINS = 128
+
+
+def small_sketch(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of sorted shingle hashes that tell sets of unlike content apart.
+
+    Of up to 128 shingles, the parities of the numbers of shingles per bin: two sets differ in at most as
+    many bits as in elements.  Of more, a bit of the least hash in each bin: bits differ with half the
+    chance that the least hashes do, which is one less the similarity.
     """
-    at, leaders, own = None, np.empty((0, 3), np.int64), []
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+    bins = (shingles.view(np.uint64) >> np.uint64(57)).astype(np.int64)
+    if len(shingles) <= _BINS:
+        bits = np.bincount(bins, minlength=_BINS) & 1
+    else:
+        order = np.argsort(shingles.view(np.uint64), kind="stable")
+        ordered = shingles.view(np.uint64)[order]
+        places = np.minimum(np.searchsorted(ordered, np.arange(_BINS, dtype=np.uint64) << np.uint64(57)), len(ordered) - 1)
+        bits = (ordered[places] >> np.uint64(13) & np.uint64(1)).astype(np.int64)
+    low, high = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return low, high
 
-    def left() -> list[tuple]:
-        return [(i, None, int(at)) for i in own] if len(own) > max(2, len(leaders)) else []
 
-    for b in batches:
-        keys = b["key"].to_numpy()
-        rows = np.stack([b[c].to_numpy() for c in ("id", "w0", "w1")], axis=1)
-        out: list[tuple] = []
-        if len(keys):
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            ends = np.append(starts[1:], len(keys))
-            busy = (ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)
-            for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
-                if keys[s] != at:
-                    out += left()
-                    at, leaders, own = keys[s], np.empty((0, 3), np.int64), []
-                for row in rows[s:e]:
-                    own.append(int(row[0]))
-                    far = np.bitwise_count((leaders[:, 1:] ^ row[1:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    if len(far) and far.min() <= same:
-                        out.append((int(leaders[far.argmin(), 0]), int(row[0]), None))
-                    else:
-                        out += [(int(i), int(row[0]), None) for i in leaders[far <= near, 0]]
-                        leaders = np.vstack((leaders, row))
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], schema=kinds)
-    out = left()
-    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], schema=kinds)
-
-
-def _across(batches: Batches, near: int, width: int | None) -> Batches:
-    """Pairs within ``near`` bits and of unlike label, of rows (key, id, w0, w1, label) sorted by key.
-
-    Each row is paired with the ``width`` nearest of them at its key, with all if that is None.  A pair that
-    surely meets at an earlier quarter is left to that.
+_ROW = "key long, block int, id long, w0 long, w1 long, s0 long, s1 long, n long, label long, home boolean"
+_NUMBERS = ("id", "w0", "w1", "s0", "s1", "n", "label")
+
+
+def _maybe(row: np.ndarray, others: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``others`` may be 0.8 similar to ``row``, by sizes and sketches; and the differing bits of the wide hash.
+
+    The bound on parities is exact; that on least hashes leaves out a pair of similarity 0.8 in one of ten thousand.
     """
+    far = np.bitwise_count((others[:, 1:3] ^ row[1:3]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    bits = np.bitwise_count((others[:, 3:5] ^ row[3:5]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    n, m = others[:, 5], row[5]
+    fits = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    few = np.where((n <= _BINS) & (m <= _BINS), 9 * bits <= n + m, ((n <= _BINS) | (m <= _BINS)) | (bits <= 26))
+    return fits & few & (far <= near), far
 
-    def pairs(key: int, rows: np.ndarray) -> Batches:
-        quarter, out, n = key >> 32, [], 0
-        for at, row in enumerate(rows):
-            others = rows[:at] if width is None else rows
-            bits = np.bitwise_count(np.ascontiguousarray(others[:, 1:3] ^ row[1:3]).view(np.uint32))
-            far = bits.sum(axis=1, dtype=np.int64)
-            met = np.flatnonzero((far <= near) & (others[:, 3] != row[3]) & ~(bits[:, :quarter] <= 2).any(axis=1))
-            if width is not None and len(met) > width:
-                met = met[np.argsort(far[met], kind="stable")[:width]]
-            ids = others[met, 0]
-            out.append(np.stack((np.minimum(ids, row[0]), np.maximum(ids, row[0])), axis=1))
-            n += len(ids)
-            if n > 100_000 or at + 1 == len(rows):
-                found = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in (0, 1)], ["a", "b"])
-                out, n = [], 0
-
-    at, own = None, []
+
+def _groups(batches: Batches):
+    """(key and block, rows, home flags) of each group of rows that are sorted by key and block."""
+    at, own, homes = None, [], []
     for b in batches:
-        keys = b["key"].to_numpy()
-        rows = np.stack([b[c].to_numpy() for c in ("id", "w0", "w1", "label")], axis=1)
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
-        for s, e in zip(starts, [*starts[1:], len(keys)]):
-            if keys[s] != at:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b["key"].to_numpy(), b["block"].to_numpy().astype(np.int64)], axis=1)
+        rows = np.stack([b[c].to_numpy() for c in _NUMBERS], axis=1)
+        home = b["home"].to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+            if at is None or (keys[s] != at).any():
                 if own:
-                    yield from pairs(at, np.concatenate(own))
-                at, own = int(keys[s]), []
+                    yield np.concatenate(own), np.concatenate(homes)
+                at, own, homes = keys[s], [], []
             own.append(rows[s:e])
+            homes.append(home[s:e])
     if own:
-        yield from pairs(at, np.concatenate(own))
+        yield np.concatenate(own), np.concatenate(homes)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+
+def _led(batches: Batches, near: int) -> Batches:
+    """Few candidate pairs (a, b) that are likely to connect a group: each row with its nearest leader, leaders among rows of none.
+
+    Rows go in the order of their distance to the group's majority bits, so that a text of which many are
+    versions leads them.  Rows of one label are taken for connected.
+    """
+    out: list[tuple[int, int]] = []
+    for rows, _ in _groups(batches):
+        if len(rows) > 2:
+            ones = np.unpackbits(rows[:, 1:3].copy().view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            rows = rows[np.argsort((ones != (2 * ones.sum(axis=0, dtype=np.int64) > len(rows))).sum(axis=1), kind="stable")]
+        leaders, n = np.empty_like(rows), 0
+        for row in rows:
+            may, far = _maybe(row, leaders[:n], near)
+            may &= leaders[:n, 6] != row[6]
+            if may.any():
+                out.append((int(row[0]), int(leaders[np.where(may, far, 1 << 30).argmin(), 0])))
+            else:
+                leaders[n], n = row, n + 1
+        if len(out) > 100_000:
+            yield _pairs(out)
+            out = []
+    yield _pairs(out)
+
+
+def _across(batches: Batches, near: int) -> Batches:
+    """All candidate pairs (a, b) of unlike label in each group, of which at least one is at home there."""
+    out: list[tuple[int, int]] = []
+    for rows, home in _groups(batches):
+        for at in np.flatnonzero(home):
+            row = rows[at]
+            may, _ = _maybe(row, rows, near)
+            may &= (rows[:, 6] != row[6]) & (~home | (rows[:, 0] < row[0]))
+            out += [(int(row[0]), int(i)) for i in rows[may, 0]]
+            if len(out) > 100_000:
+                yield _pairs(out)
+                out = []
+    yield _pairs(out)
 
 
 def _of_quarter(anchor_words: Column, quarter: int) -> Column:
     return F.transform(anchor_words, lambda x: x + F.lit(quarter << 32))
 
 
-def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, near: int = 26, same: int = 16) -> DataFrame:
-    """Links (a, b) of doc_ids whose texts' word shingles have a Jaccard similarity of ``least`` or more.
+def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, near: int = 32, block: int = 4096) -> DataFrame:
+    """Links (a, b) of doc_ids whose texts' word shingles have a Jaccard similarity of ``least`` (0.8 or more).
 
     Candidates come from anchors over the four 32-bit quarters of a 128-bit SimHash of words and
     word pairs: texts that differ in at most 2 bits of a quarter meet (about 95 % of
     those with similarity 0.8, more of nearer ones).  Every link is checked on whole texts.
 
-    Not every pair that meets within ``near`` bits is checked, but each is either checked or within one component
-    of the links already found: leaders are checked with their members first, then, where groups
-    hold more, each document with the nearest ones outside its component, and last with all outside it.
+    Not every pair that meets is checked, but each is either checked, ruled out by sketches (``_maybe``), or within one
+    component of the links already found.  First the rows of each anchor are checked with leaders, in blocks of
+    about ``block`` rows, then one row of each component there; last all pairs between components.  For that
+    an anchor's rows of its largest component are dealt into blocks and those of the others go to each block, so an anchor that
+    a third of all texts share is spread, and its work is the size of the largest component times that of the rest.
     """
+    if least < 0.8:
+        raise ValueError("sizes and sketches rule out pairs below a similarity of 0.8")
     kept = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
     def sketch(batches: Batches) -> Batches:
         for b in batches:
             texts = [t or b"" for t in binary(b["text"])]
             found = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            sets = [shingle_hashes(t, words_each) for t in texts]
+            small = np.array([small_sketch(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
             same_words = pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found[:, 0]), pa.array(found[:, 1]), same_words], ["id", "w0", "w1", "words"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x[:, i]) for x in (found, small) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), same_words], ["id", "w0", "w1", "s0", "s1", "n", "words"])
 
     # texts of the same words in order have equal fingerprints, which link them; all others go on, even under one hash
-    wide = staged(kept.mapInArrow(sketch, "id long, w0 long, w1 long, words binary").groupBy("w0", "w1", "words").agg(F.min("id").alias("id")).drop("words"), "wide")
+    each = kept.mapInArrow(sketch, "id long, w0 long, w1 long, s0 long, s1 long, n long, words binary").where("n > 0")
+    wide = staged(each.groupBy("w0", "w1", "s0", "s1", "n", "words").agg(F.min("id").alias("id")).drop("words"), "wide")
     low = F.lit((1 << 32) - 1)
     quarters = [F.col("w0").bitwiseAND(low), F.shiftrightunsigned("w0", 32), F.col("w1").bitwiseAND(low), F.shiftrightunsigned("w1", 32)]
     keys = F.concat(*(_of_quarter(anchors(q, 31), k) for k, q in enumerate(quarters)))
-    met = wide.select("id", "w0", "w1", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "id")
-    led = staged(met.select("key", "id", "w0", "w1").mapInArrow(lambda b: _led(b, near, same), "a long, b long, key long").distinct(), "pairs")
-    pairs, crowds = led.where("b IS NOT NULL").select("a", "b"), led.where("b IS NULL").select("key", F.col("a").alias("id"))
-    ids = led.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    met = wide.select("id", F.explode(keys).alias("key"))
+    crowded = staged(met.groupBy("key").count().where("count > 1"), "crowded")
+    crowds = staged(met.join(crowded, "key"), "crowds")  # key, id, count
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows with key, block, id, label and home, beside their sketches, sorted in their groups."""
+        return rows.join(wide, "id").select(*(c.split()[0] for c in _ROW.split(", "))).repartition("key", "block").sortWithinPartitions("key", "block")
+
+    of_block = lambda rows: F.pmod(F.xxhash64("id"), F.ceil(rows / F.lit(float(block)))).cast("int")
+    alone = crowds.select("key", "id", of_block(F.col("count")).alias("block"), F.col("id").alias("label"), F.lit(True).alias("home"))
+    pairs = staged(dealt(alone).mapInArrow(lambda b: _led(b, near), "a long, b long").distinct(), "pairs")
+    found, tried = _checked(kept, pairs, words_each, least), pairs
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """(key, id, label) of the anchors that have rows of more than one component."""
+        named = rows.join(components(found), F.col("id") == F.col("member"), "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return staged(named.join(split, "key", "left_semi"), "crowds")
+
+    crowds = labelled(crowds.select("key", "id"))
+    if crowds.isEmpty():
+        return found
+    # of each component at an anchor the row with the most links goes on to the next round of leaders
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    hubs = crowds.join(ends, "id", "left").groupBy("key", "label").agg(F.max_by("id", F.coalesce("links", F.lit(0)) * F.lit(1.0) - F.col("id") * F.lit(2.0**-64)).alias("id"))
+    many = hubs.groupBy("key").agg(F.count("*").alias("count"))
+    chosen = hubs.join(many, "key").select("key", "id", of_block(F.col("count")).alias("block"), "label", F.lit(True).alias("home"))
+    more = staged(dealt(chosen).mapInArrow(lambda b: _led(b, near), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried, found = tried.unionByName(more), found.unionByName(_checked(kept, more, words_each, least))
+    crowds = labelled(crowds.select("key", "id"))
+    if crowds.isEmpty():
+        return found
+    sizes = crowds.groupBy("key", "label").agg(F.count("*").alias("rows"))
+    largest = staged(sizes.groupBy("key").agg(F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("rows")).select("key", F.col("top.label").alias("main"), F.ceil(F.col("rows") / F.lit(float(block))).cast("int").alias("blocks")), "largest")
+    spread = crowds.join(largest, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.when(F.col("label") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = spread.withColumn("block", F.explode(every)).select("key", "id", "block", "label", (F.col("block") == F.col("own")).alias("home"))
+    more = staged(dealt(rows).mapInArrow(lambda b: _across(b, near), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(_checked(kept, more, words_each, least))
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, words_each: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole texts have the similarity."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def shingled(batches: Batches) -> Batches:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingle_hashes(t or b"", words_each) for t in binary(b["text"])], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    sets = staged(kept.join(ids, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles array<bigint>"), "shingles")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return staged(both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), "checked")
-
-    found = checked(pairs)
-    for width in (8, None):
-        if crowds.isEmpty():
-            break
-        named = crowds.join(components(found), F.col("id") == F.col("member"), "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-        crowds = staged(named.join(split, "key", "left_semi"), "crowds")  # groups within one component are done
-        rows = crowds.join(wide, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "w0", "w1", "label")
-        new = staged(rows.mapInArrow(lambda b, width=width: _across(b, near, width), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs, crowds = pairs.unionByName(new), crowds.select("key", "id")
-        found = found.unionByName(checked(new))
-    return found
+    sets = staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return staged(both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), "checked")
