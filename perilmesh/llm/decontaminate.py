@@ -2,11 +2,12 @@
 
 The test side decides what is looked up: every window of a benchmark item is
 found by its two rarest words, counted over all documents.  The training side
-stores positional postings of those words, each with its neighbourhood of one
-window to both sides.  Offset-adjusted lists (document position less item
-position) are intersected per document, item and offset; alignments that have
-both rarest words of a window are compared word by word, and runs of equal words as
-long as a window are exact phrase matches.
+stores positional postings (word, document, position) of those words.  Offset-adjusted lists
+(document position less item position) of the rarest words are intersected first; where both words of a window
+meet at an offset, the document's postings along the item are intersected with the lists of all
+its other words, and runs of neighbouring positions as long as a window are exact phrase
+matches.  Proximity matches come from the same index: both rarest words of a window, in any
+order, fewer words apart than a window has.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Batches, binary, small_rows, staged
@@ -69,9 +70,10 @@ def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rare_words(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(word, passage_id, item_pos) of the two rarest words of each window that the documents may have."""
+    """(passage_id, pos, other) of the two rarest words of each window that the documents may have; other is null for one word."""
     each = items.select("passage_id", F.posexplode(F.split("passage", " ")).alias("pos", "word")).join(counts, "word", "left")
     listed = each.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("words"))
+    schema = pa.schema([("passage_id", pa.int64()), ("pos", pa.int64()), ("word", pa.string()), ("other_pos", pa.int64()), ("other", pa.string())])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
@@ -81,109 +83,100 @@ def rare_words(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
                 for i in range(max(1, len(n) - window + 1)):
                     rarest = sorted(range(i, min(len(n), i + window)), key=lambda p: (n[p], p))[:2]
                     if n[rarest[0]]:
-                        chosen.update(rarest)
-                out += [(words[p]["word"], key, p) for p in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["word", "passage_id", "item_pos"])
+                        chosen.add(tuple(rarest))
+                out += [(key, p[0], words[p[0]]["word"], p[1] if len(p) > 1 else None, words[p[1]]["word"] if len(p) > 1 else None) for p in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
 
-    return listed.mapInArrow(run, "word string, passage_id long, item_pos long")
+    return listed.mapInArrow(run, "passage_id long, pos long, word string, other_pos long, other string")
 
 
-def postings(docs: DataFrame, words: DataFrame, window: int) -> DataFrame:
-    """The positional index: (word, doc_id, pos, at, near), and a row without word for each document.
+def postings(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The positional index: (word, doc_id, h, pos), and a row without word for each document, pos being its number of words.
 
-    near is the text of up to window - 1 words to both sides, the word being
-    number ``at`` in it; pos of a document's own row is its number of words.
+    h is the text's hash, which keeps rows of one doc_id apart.  If docs has ranges (arrays of low and high), only
+    positions in one of them are posted.
     """
     wanted = _selected(words)
-    side = window - 1
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            word, doc, pos, at, near = [], [], [], [], []
-            for i, text in zip(b["doc_id"].to_pylist(), binary(b["text"])):
+            word, doc, text_hash, pos = [], [], [], []
+            ranges = b["ranges"].to_pylist() if "ranges" in b.schema.names else [None] * b.num_rows
+            for i, h, text, own_ranges in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), binary(b["text"]), ranges):
                 own = words_of(text)
-                word.append(None)
-                doc.append(i)
-                pos.append(len(own))
-                at.append(None)
-                near.append(None)
-                for p in range(len(own)) if wanted is None else [p for p, w in enumerate(own) if w in wanted.value]:
-                    low = max(0, p - side)
-                    word.append(own[p].decode())
-                    doc.append(i)
-                    pos.append(p)
-                    at.append(p - low)
-                    near.append(b" ".join(own[low : p + window]).decode())
+                places = range(len(own)) if own_ranges is None else sorted({p for r in own_ranges for p in range(max(0, r["low"]), min(len(own), r["high"] + 1))})
+                found = [p for p in places if wanted is None or own[p] in wanted.value]
+                word += [None, *(own[p].decode() for p in found)]
+                pos += [len(own), *found]
+                doc += [i] * (len(found) + 1)
+                text_hash += [h] * (len(found) + 1)
                 if len(word) > 100_000:
-                    yield _columns(word, doc, pos, at, near)
-                    word, doc, pos, at, near = [], [], [], [], []
-            yield _columns(word, doc, pos, at, near)
+                    yield _columns(word, doc, text_hash, pos)
+                    word, doc, text_hash, pos = [], [], [], []
+            yield _columns(word, doc, text_hash, pos)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, doc_id long, pos long, at int, near string")
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *(["ranges"] if "ranges" in docs.columns else []))
+    return own.mapInArrow(run, "word string, doc_id long, h long, pos long")
 
 
-def _columns(word, doc, pos, at, near) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(word, pa.string()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(at, pa.int32()), pa.array(near, pa.string())],
-        ["word", "doc_id", "pos", "at", "near"],
-    )
+def _columns(word, doc, text_hash, pos) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), *(pa.array(x, pa.int64()) for x in (doc, text_hash, pos))], ["word", "doc_id", "h", "pos"])
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, rare: DataFrame, window: int) -> DataFrame:
+def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, rare: DataFrame, window: int) -> DataFrame:
     """Exact matches: (doc_id, item_id, low, high), document words low to high being in windows of the item."""
-    aligned = index.where("word IS NOT NULL").join(rare, "word").select("doc_id", "passage_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", "at", "near")
-    lists = aligned.groupBy("doc_id", "passage_id", "offset").agg(F.collect_list(F.struct("item_pos", "at", "near")).alias("hits"))
-    met = lists.join(items, "passage_id").where((F.size("hits") > 1) | (F.instr("passage", " ") == 0))
-
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            out = []
-            for doc, item, offset, passage, hits in zip(*(b[c].to_pylist() for c in ("doc_id", "item_id", "offset", "passage", "hits"))):
-                words = passage.split(" ")
-                need, spans = min(window, len(words)), set()
-                for h in hits:
-                    near, at, p = h["near"].split(" "), h["at"], h["item_pos"]
-                    left = right = 0
-                    while left < min(at, p) and near[at - left - 1] == words[p - left - 1]:
-                        left += 1
-                    while at + right + 1 < len(near) and p + right + 1 < len(words) and near[at + right + 1] == words[p + right + 1]:
-                        right += 1
-                    if left + right + 1 >= need:
-                        spans.add((offset + p - left, offset + p + right))
-                out += [(doc, item, *s) for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())],
-                ["doc_id", "item_id", "low", "high"],
-            )
-
-    return met.select("doc_id", "item_id", "offset", "passage", "hits").mapInArrow(run, "doc_id long, item_id string, low long, high long")
+    sought = rare.select(F.explode(F.array(F.struct("word", "pos"), F.struct(F.col("other").alias("word"), F.col("other_pos").alias("pos")))).alias("w"), "passage_id")
+    sought = sought.select("passage_id", "w.word", F.col("w.pos").alias("item_pos")).where("word IS NOT NULL").distinct()
+    listed = index.where("word IS NOT NULL").join(sought, "word").select("doc_id", "h", "passage_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos")
+    length = F.size(F.split("passage", " "))
+    met = listed.groupBy("doc_id", "h", "passage_id", "offset").agg(F.count("*").alias("hits")).join(items.withColumn("length", length), "passage_id")
+    met = staged(met.where("hits > 1 OR length = 1").select("doc_id", "h", "passage_id", "item_id", "offset", "length", "passage"), "alignments")
+    one = met.where("length = 1").select("doc_id", "item_id", F.col("offset").alias("low"), F.col("offset").alias("high"))
+    longer = met.where("length > 1")
+    # the other words: postings of these documents along the items only
+    ranges = longer.groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("offset").alias("low"), (F.col("offset") + F.col("length") - 1).alias("high"))).alias("ranges"))
+    ranges = staged(ranges.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "ranges"), "ranges")
+    texts = docs.select("doc_id", "text").join(ranges, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h"))).select("doc_id", "text", "ranges")
+    words = longer.select("passage").distinct().select(F.explode(F.split("passage", " ")).alias("word")).distinct()
+    along = staged(postings(texts, words), "postings").where("word IS NOT NULL").distinct().select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("pos").alias("_pos"), F.col("word").alias("_word"))
+    wanted = longer.select("doc_id", "h", "passage_id", "item_id", "offset", "length", F.posexplode(F.split("passage", " ")).alias("k", "word"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")) & (F.col("offset") + F.col("k") == F.col("_pos")) & (F.col("word") == F.col("_word"))
+    hits = wanted.join(along, same)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "h", "passage_id", "item_id", "offset").orderBy("k"))
+    runs = hits.withColumn("run", F.col("k") - nth).groupBy("doc_id", "h", "passage_id", "item_id", "offset", "run").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("length").alias("length"))
+    whole = runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.lit(window), "length"))
+    return one.unionByName(whole.select("doc_id", "item_id", (F.col("offset") + F.col("first")).alias("low"), (F.col("offset") + F.col("last")).alias("high")))
+
+
+def near_pairs(index: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
+    """(doc_id, a, b, pos_a, pos_b): neighbouring occurrences of the words of ``pairs`` (a, b) fewer than ``within`` words apart, in any order.
+
+    Of a run of occurrences those that are next to each other in the merged lists are given; a word can pair with itself.
+    """
+    known = pairs.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
+    listed = index.where("word IS NOT NULL")
+    first = listed.join(known.withColumn("word", F.col("a")), "word").withColumn("side", F.lit(0))
+    second = listed.join(known.where("a <> b").withColumn("word", F.col("b")), "word").withColumn("side", F.lit(1))
+    order = Window.partitionBy("doc_id", "h", "a", "b").orderBy("pos", "side")
+    both = first.unionByName(second).distinct().select("doc_id", "a", "b", "pos", "side", F.lag("pos").over(order).alias("before"), F.lag("side").over(order).alias("was"))
+    met = both.where((F.col("pos") - F.col("before") < within) & ((F.col("side") != F.col("was")) | (F.col("a") == F.col("b"))))
+    return met.select("doc_id", "a", "b", F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("before")).alias("pos_a"), F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("pos")).alias("pos_b"))
 
 
 def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
-    """(doc_id, a, b, pos_a, pos_b) for word pairs (a, b) at most ``within`` words apart, in any order.
+    """(doc_id, a, b, pos_a, pos_b) of ``near_pairs`` in an index of ``docs`` (doc_id, text) made for the words of the pairs."""
+    words = pairs.select(F.explode(F.array("a", "b")).alias("word")).where("word IS NOT NULL").distinct()
+    return near_pairs(staged(postings(docs, words), "postings"), pairs, within)
 
-    The index is built for the words of the pairs only; the lists are looked up by
-    the rarer word of each pair, and its partner in the stored neighbourhood.
-    """
-    words = pairs.select(F.explode(F.array("a", "b")).alias("word")).distinct()
-    counts = word_counts(docs, words)
-    n = lambda c: counts.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
-    ranked = pairs.join(n("a"), "a").join(n("b"), "b").select("a", "b", (F.col("n_a") <= F.col("n_b")).alias("by_a"))
-    sought = ranked.withColumn("word", F.when(F.col("by_a"), F.col("a")).otherwise(F.col("b"))).withColumn("other", F.when(F.col("by_a"), F.col("b")).otherwise(F.col("a")))
-    index = postings(docs, sought.select("word").distinct(), within + 1).where("word IS NOT NULL")
-    seen = index.join(sought, "word").select("doc_id", "a", "b", "by_a", "pos", "at", "other", F.posexplode(F.split("near", " ")).alias("i", "w"))
-    seen = seen.where((F.col("w") == F.col("other")) & (F.col("i") != F.col("at")))
-    there = F.col("pos") + F.col("i") - F.col("at")
-    return seen.select("doc_id", "a", "b", F.when(F.col("by_a"), F.col("pos")).otherwise(there).alias("pos_a"), F.when(F.col("by_a"), there).otherwise(F.col("pos")).alias("pos_b"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, one_in: int = 20) -> DataFrame:
+
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, one_in: int = 20, proximity: bool = False) -> DataFrame:
     """Hits of benchmark ``items`` (item_id, text) in ``docs`` (doc_id, text).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but
     not none, is one window.  Returns per doc_id: n_words, n_hit (words inside any
     occurrence of a window), items (sorted array of the ids with occurring windows)
-    and contaminated (n_hit > 0 and ``one_in`` * n_hit >= n_words).
+    and contaminated (n_hit > 0 and ``one_in`` * n_hit >= n_words).  With ``proximity`` also n_near: the number of items
+    of which the two rarest words of some window stand fewer than ``window`` words apart.
 
     Null texts have no words; items without words or id match nothing.  Rows that
     share a doc_id (or have none) give one row: hits are pooled, n_words is the
@@ -192,8 +185,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, one_in
     texts = staged(passages(items).withColumn("passage_id", F.xxhash64("item_id", "passage")), "passages")
     words = staged(texts.select(F.explode(F.split("passage", " ")).alias("word")).distinct(), "words")
     rare = staged(rare_words(texts, word_counts(docs, words), window), "rare")
-    index = staged(postings(docs, rare.select("word").distinct(), window), "postings")
-    hits = phrase_matches(index, texts, rare, window)
+    sought = rare.select(F.explode(F.array("word", "other")).alias("word")).where("word IS NOT NULL").distinct()
+    index = staged(postings(docs, sought), "postings")
+    hits = phrase_matches(docs, index, texts, rare, window)
     joined = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")),
@@ -204,4 +198,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, one_in
     sizes = index.where("word IS NULL").groupBy("doc_id").agg(F.max("pos").alias("n_words"))
     out = sizes.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"))
+    columns = ["doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated")]
+    if proximity:
+        pairs = rare.join(texts, "passage_id").select(F.col("word").alias("a"), F.col("other").alias("b"), "item_id")
+        found = near_pairs(index, pairs, window).select("doc_id", "a", "b").distinct().join(pairs.distinct(), ["a", "b"])
+        near = found.groupBy(F.col("doc_id").alias("_near_doc")).agg(F.countDistinct("item_id").alias("near"))
+        out = out.join(near, F.col("doc_id").eqNullSafe(F.col("_near_doc")), "left")
+        columns.append(F.coalesce("near", F.lit(0).cast("long")).alias("n_near"))
+    return out.select(*columns)

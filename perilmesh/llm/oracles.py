@@ -31,10 +31,23 @@ windows AS (
   SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+), tokens AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts
+), counted AS (
+  SELECT word, count(*) AS n FROM tokens GROUP BY word
+), placed AS (
+  SELECT DISTINCT item, w, i, least(i + 12, len(w)) AS j, unnest(range(i, least(i + 12, len(w)) + 1)) AS p
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), ranked AS (
+  SELECT item, w, i, w[p] AS word, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item, w, i ORDER BY coalesce(n, 0), p) AS r FROM placed LEFT JOIN counted ON word = w[p]
+), pairs AS (
+  SELECT DISTINCT x.item, x.word AS a, y.word AS b FROM ranked x JOIN ranked y ON x.item = y.item AND x.w = y.w AND x.i = y.i WHERE x.r = 1 AND y.r = 2 AND x.n > 0
+), near AS (
+  SELECT x.doc_id, count(DISTINCT item) AS n_near FROM pairs JOIN tokens x ON x.word = a JOIN tokens y ON y.doc_id = x.doc_id AND y.word = b AND y.p <> x.p AND abs(y.p - x.p) < 13 GROUP BY x.doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 ORACLES = {"op4_decontaminate": CONTAMINATION, "op9_line_dedup": LINE_DEDUP}
