@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_names, named, staged
 
 #: More sources than this are joined by salted shuffle instead of broadcast.
 MOST_BROADCAST = 50_000
@@ -46,48 +46,41 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return leveled.select("source", "source_size", F.coalesce(F.least("cap", fits * F.col("weight")), "cap").alias("target"))
 
 
-def _with_rates(docs: DataFrame, rates: DataFrame, small: bool) -> DataFrame:
-    """``docs`` beside the row of ``rates`` for their source (named _source)."""
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    if small:
-        return docs.join(F.broadcast(rates), same)
-    salts = 64
-    salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return docs.withColumn("_row", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, same & (F.col("_row") == F.col("_salt")))
-
-
-def _copies(rate: Column, seed: Column) -> Column:
-    draw = F.shiftrightunsigned(F.xxhash64(seed, F.col("doc_id")), 11).cast("double") * F.lit(2.0**-53)
+def _copies(rate: Column, seed: int) -> Column:
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") * F.lit(2.0**-53)
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long")
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, draws: int = 16) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0, size: str | None = None) -> DataFrame:
     """``docs`` with the number of ``copies`` that the mix takes of each row.
 
     All columns are returned, and size, source_size, target, rate, copies
-    (columns of these names are replaced).  A draw depends on doc_id and a seed
+    (columns of these names are replaced).  ``size`` names a column of docs that has the sizes; by default
+    they are the numbers of words of text.  A draw depends on doc_id and the seed
     alone, so reruns agree; rows with equal doc_id (and rows without one) draw alike.
-    Of ``draws`` seeds, each source takes the one whose draw comes nearest to its
-    target (the first at ties); each is a Bernoulli draw with the rate's fraction.
     A null text has size 0; a null source is a source, the last.  A source without
-    words has rate 0.
+    words has rate 0.  Rates reach the rows by broadcast up to ``MOST_BROADCAST`` sources, else by a salted join.
     """
     own = ("size", "source_size", "target", "rate", "copies")
-    docs = docs.drop(*own).withColumn("size", size_in_words(F.col("text")))
-    sizes = staged(docs.select("doc_id", "source", "size"), "sizes")
-    totals = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    amount = size_in_words(F.col("text")) if size is None else named([size])[0]
+    (held,) = free_names(docs, "_size")
+    docs = docs.withColumn(held, amount).drop(*own)
+    totals = staged(docs.groupBy("source").agg(F.sum(held).alias("source_size")), "totals")
     small = totals.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rates = source_targets(totals, weights, share, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = staged(rates.select(F.col("source").alias("_source"), "source_size", "target", "rate"), "rates")
-    tried = _with_rates(sizes, rates, small).groupBy("_source").agg(
-        F.first("target").alias("_goal"), *(F.sum(F.col("size") * _copies(F.col("rate"), F.lit(seed + k))).alias(f"_taken{k}") for k in range(draws)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_taken{k}") - F.col("_goal")).alias("off"), F.lit(seed + k).alias("seed")) for k in range(draws))))["seed"]
-    seeds = staged(tried.select(F.col("_source").alias("_s"), best.alias("_seed")), "seeds")
-    rates = rates.join(seeds, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    return _with_rates(docs, rates, small).select(*docs.columns, "source_size", "target", "rate", _copies(F.col("rate"), F.col("_seed")).alias("copies"))
+    of, salt, row = free_names(docs, "_source", "_salt", "_row")
+    rates = staged(rates.select(F.col("source").alias(of), "source_size", "target", "rate"), "rates")
+    same = F.col("source").eqNullSafe(F.col(of))
+    if small:
+        rated = docs.join(F.broadcast(rates), same)
+    else:
+        salts = 64
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rated = docs.withColumn(row, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, same & (F.col(row) == F.col(salt)))
+    kept = [c for c in docs.columns if c != held]
+    return rated.select(*named(kept), F.col(held).alias("size"), "source_size", "target", "rate", _copies(F.col("rate"), seed).alias("copies"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of a mix, each as often as it is taken; rows with no copies go."""
-    rows = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return rows
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
