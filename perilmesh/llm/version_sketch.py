@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
 A text is the set of the digests of its paragraphs, cut after line ends and after
-sentence ends (and of word groups in its opening).  Its sketch has three tables of cells; each digest goes into one cell of each,
+sentence ends (short texts: also of groups of words).  Its sketch has three tables of cells; each digest goes into one cell of each,
 adding to a count and combining by exclusive or into a key and a check sum.  The
 difference of two sketches holds exactly the digests that one text has and the other
 lacks; a cell with a single one of them gives it away, and taking it out lays others
@@ -24,21 +24,21 @@ from .common import Batches, cuts
 
 _CUT = re.compile(r"[.!?]\s+|\n")
 _FAR = -(1 << 63)
-#: The first paragraphs are also cut into groups of so many words.
-_OPENING, _GROUP = 3, 3
+#: Texts of up to so many characters are also cut into groups of so many words.
+_SHORT, _GROUP = 2000, 3
 
 
 def digests(text: str) -> set[int]:
-    """64-bit digests of the non-blank paragraphs of a text, and of the word groups of its first ones.
+    """64-bit digests of the non-blank paragraphs of a text; of a short one also of all word groups of each.
 
-    The opening is taken more finely so that a text of one or two sentences still shares digests with
-    a version that is edited behind it.
+    A text of one or two sentences would else share no digest with a version that is edited somewhere in them.
     """
     pieces = [p for p in map(str.strip, _CUT.split(text)) if p]
     out = set(map(xxhash.xxh3_64_intdigest, pieces))
-    for piece in pieces[:_OPENING]:
-        words = piece.split()
-        out.update(xxhash.xxh3_64_intdigest("\0" + " ".join(words[i : i + _GROUP])) for i in range(0, len(words), _GROUP))
+    if len(text) <= _SHORT:
+        for piece in pieces:
+            words = piece.split()
+            out.update(xxhash.xxh3_64_intdigest("\0" + " ".join(words[i : i + _GROUP])) for i in range(0, len(words), _GROUP))
     return out
 
 
@@ -142,7 +142,11 @@ def versions(docs: DataFrame, *, width: int = 8, ranges: int | None = None) -> D
         placed = placed.join(lend, "_k", "left").withColumn("_to", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("b")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("b")), F.struct(F.col("_to").alias("r"), F.lit(1).alias("b"))))))
     else:
         placed = placed.withColumn("_to", F.struct(F.col("_range").alias("r"), F.lit(0).alias("b")))
-    dealt = placed.select("doc_id", "_k", "text", F.col("_to.r").alias("_range"), F.col("_to.b").alias("_lent")).repartition(n, "_range").sortWithinPartitions("_range", "_lent", F.desc("_k"), "text")
+    # numbers whose hashes lie one in each of n partitions, so that each task gets a range
+    dealing = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("number")).collect()
+    number = {r["part"]: r["number"] for r in dealing}
+    deal = F.element_at(F.array(*(F.lit(number.get(i, i)) for i in range(n))), F.col("_range") + 1)
+    dealt = placed.select("doc_id", "_k", "text", F.col("_to.r").alias("_range"), F.col("_to.b").alias("_lent")).repartition(n, deal).sortWithinPartitions("_range", "_lent", F.desc("_k"), "text")
 
     def run(batches: Batches) -> Batches:
         before = None  # the document that waits for its next one: range, id, text, digests, sketch
