@@ -5,55 +5,63 @@ shingles the one with the least hash is kept (winnowing) and goes into an invert
 index of (fingerprint, template, position).  All shingles of a document are looked
 up, so a template that stands there with one kept shingle intact is a candidate.
 Hits on nearby diagonals (document position less template position) form a
-band, and template and document words are aligned inside the band.
+band, and template and document words are aligned inside the band.  A band of a long template is only
+aligned if a tenth of its kept shingles are hit there: a coverage of 0.8 leaves two fifths of all shingles
+intact at least, unless words are put in everywhere.
+
+The library holds whole license texts (``licenses/*.txt``), and as templates of their own the one-line
+notices, file headers and opening grants that stand for them.
 """
 
 from __future__ import annotations
 
 
+from collections import Counter
+from pathlib import Path
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-from .common import Batches, binary, small_rows
+from .common import Batches, binary
 from .decontaminate import words_of
 
 SHINGLE, WINDOW, BAND = 3, 4, 12
-#: The index of templates may have so many entries; it is sent to every task.
-MOST_ENTRIES = 1_000_000
+#: So many bytes of templates are sent to every task at a time, one template at least.
+MOST_BYTES = 4_000_000
 
-#: Notices and opening clauses of public licenses.
-TEMPLATES = {
+#: Notices, file headers and opening grants of public licenses.
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": (
+    "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions:"
     ),
-    "Apache-2.0": (
+    "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
         "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
         "either express or implied."
     ),
-    "BSD-2-Clause": (
+    "BSD-grant": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
-    "GPL-3.0": (
+    "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
-    "ISC": (
+    "ISC-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-grant": "This is free and unencumbered software released into the public domain.",
 }
 
 
@@ -64,8 +72,14 @@ def winnow(words: list[bytes]) -> list[tuple[int, int]]:
     return [(hashes[p], p) for p in sorted(kept)]
 
 
+def library() -> dict[str, str]:
+    """All templates by name: the notices, and the whole texts."""
+    texts = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return NOTICES | {f.stem: f.read_text(encoding="utf-8") for f in texts}
+
+
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(TEMPLATES.items()), "license string, template string")
+    return spark.createDataFrame(sorted(library().items()), "license string, template string")
 
 
 def template_index(templates: DataFrame) -> DataFrame:
@@ -87,19 +101,31 @@ def slack(length: int) -> int:
     return max(1, min(BAND, length // 3))
 
 
+def least_hits(length: int) -> int:
+    """How many kept shingles of a template of so many words must be hit in a band."""
+    return max(1, length // (5 * (WINDOW + 1)) if length > 100 else 1)
+
+
 def bands(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """(first, last) diagonal of each band from (document position, template position) hits.
 
     Hits go together while neighbouring diagonals differ by at most the template's slack
-    and all of them by at most half its length.
+    and all of them by at most half its length.  Of a long template, diagonals count only if there are hits
+    enough within the slack.
     """
+    need, near = least_hits(length), slack(length)
+    count = Counter(d - t for d, t in hits)
+    if need > 1:
+        strong = {x for x, n in count.items() if n * 4 >= need}  # a band has a main diagonal
+        count = {x: n for x, n in count.items() if any(x + k in strong for k in range(-near, near + 1))}
     out: list[list[int]] = []
-    for diagonal in sorted({d - t for d, t in hits}):
-        if out and diagonal - out[-1][1] <= slack(length) and diagonal - out[-1][0] <= max(slack(length), length // 2):
+    for diagonal in sorted(count):
+        if out and diagonal - out[-1][1] <= near and diagonal - out[-1][0] <= max(near, length // 2):
             out[-1][1] = diagonal
+            out[-1][2] += count[diagonal]
         else:
-            out.append([diagonal, diagonal])
-    return [(a, b) for a, b in out]
+            out.append([diagonal, diagonal, count[diagonal]])
+    return [(a, b) for a, b, n in out if n >= need]
 
 
 def align(template: list[bytes], words: list[bytes], first: int, last: int, margin: int = BAND) -> tuple[int, int, int]:
@@ -137,12 +163,27 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, covera
     their matches.  Fewer words than a shingle make one shorter shingle, which
     is sought as it is.
     """
+    templates = template_table(docs.sparkSession) if templates is None else templates
+    known = templates.where("license IS NOT NULL AND template IS NOT NULL").select("license", "template").distinct()
+    sizes = known.select(F.xxhash64("license", "template").alias("h"), F.octet_length("template").alias("n")).orderBy("h").collect()  # a row per template
+    blocks, held = [[]], 0
+    for r in sizes:
+        if blocks[-1] and held + r["n"] > MOST_BYTES:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(r["h"])
+        held += r["n"]
+    found = [_scan(docs, known.where(F.xxhash64("license", "template").between(b[0], b[-1])) if b else known, coverage) for b in blocks]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _scan(docs: DataFrame, templates: DataFrame, coverage: float) -> DataFrame:
+    """The matches of one block of templates."""
     spark = docs.sparkSession
-    templates = template_table(spark) if templates is None else templates
-    entries = small_rows(template_index(templates), MOST_ENTRIES)
-    texts = small_rows(templates.select("license", "template"), MOST_ENTRIES)
-    if entries is None or texts is None:
-        raise ValueError("more templates than may be sent to all tasks")
+    entries, texts = template_index(templates).collect(), templates.collect()
     index: dict[bytes, dict[tuple[bytes, ...], list[tuple[str, int]]]] = {}
     for e in entries:
         shingle = tuple(e["shingle"].encode().split(b" "))
