@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII A-Z to a-z, every other byte itself.
@@ -17,19 +17,34 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir`` where the session has one.  Only where it is
-    unset (tests on one machine) is a temporary folder made and set.
+    It is ``spark.checkpoint.dir`` where the session has one.  Only where it is unset and
+    Spark runs on this machine alone is a temporary folder made and set; a cluster must name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="perilmesh-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their names, whatever characters these have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used before."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -16,8 +16,9 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Batches, cuts, staged
+from .common import Batches, cuts, free_names, fresh_path, named, staged
 
 _WS = " \t\n\x0b\x0c\r"
 
@@ -56,7 +57,7 @@ class LineIndex:
     def _write(self, rows: DataFrame, level: int) -> None:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(table)
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", fresh_path(self.spark, table)).saveAsTable(table)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
@@ -112,26 +113,30 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, batches: int = 4, fanout: i
     lines = staged(line_hashes(docs, least=least), "lines")
     bounds = [None, *cuts(docs, "doc_id", batches), None]
     index, dropped = LineIndex(spark, fanout=fanout), None
-    for low, high in zip(bounds, bounds[1:]):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        fresh = index.add(batch)
-        lost = staged(batch.join(fresh.select("h", F.col("first").alias("doc_id")), ["h", "doc_id"], "left_anti"), "lost")
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        index.compact()
-    index.drop()
-    lost = dropped.groupBy("doc_id").agg(F.collect_set("h").alias("_lost"))
-    joined = docs.join(lost, "doc_id", "left").select(*docs.columns, "_lost")
-    schema = docs.schema.fields
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["n_lines bigint", "n_dropped bigint"])
+    try:
+        for low, high in zip(bounds, bounds[1:]):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            fresh = index.add(batch)
+            lost = staged(batch.join(fresh.select("h", F.col("first").alias("doc_id")), ["h", "doc_id"], "left_anti"), "lost")
+            dropped = lost if dropped is None else dropped.unionByName(lost)
+            index.compact()
+    finally:
+        index.drop()
+    (gone_name,) = free_names(docs, "_lost")
+    lost = dropped.groupBy("doc_id").agg(F.collect_set("h").alias(gone_name))
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # Arrow maps don't take names with dots
+    joined = docs.join(lost, "doc_id", "left").select(*(c.alias(n) for c, n in zip(named([*docs.columns, gone_name]), [*plain.values(), "gone"])))
+    out = StructType([*(StructField(plain[f.name], f.dataType) for f in docs.schema.fields), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    own_text = plain["text"]
 
     def cut(batches: Batches) -> Batches:
         for b in batches:
             texts, counts, drops = [], [], []
-            for text, gone in zip(b["text"].to_pylist(), b["_lost"].to_pylist()):
+            for text, gone in zip(b[own_text].to_pylist(), b["gone"].to_pylist()):
                 parts = (text or "").split("\n")
                 counts.append(len(parts))
                 if gone:
@@ -139,7 +144,8 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, batches: int = 4, fanout: i
                     parts = [p for p in parts if line_key(p, least) not in gone]
                 drops.append(counts[-1] - len(parts))
                 texts.append("\n".join(parts) if gone else text)
-            columns = [pa.array(texts, b.schema.field(n).type) if n == "text" else b[n] for n in b.schema.names if n != "_lost"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], [*(n for n in b.schema.names if n != "_lost"), "n_lines", "n_dropped"])
+            names = [n for n in b.schema.names if n != "gone"]
+            columns = [pa.array(texts, b.schema.field(n).type) if n == own_text else b[n] for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cut, out)
+    return joined.mapInArrow(cut, out).select(*(F.col(n).alias(c) for c, n in plain.items()), "n_lines", "n_dropped")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
-import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, held_out
+from .common import documents, fresh_path, held_out, staged
 from .oracles import ORACLES
 
 
@@ -41,14 +43,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), proximity=True)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import mix, size_in_words
 
-    mixed = mix(documents(spark, sf_dir))
+    sizes = staged(documents(spark, sf_dir).select("doc_id", "source", size_in_words(F.col("text")).alias("size")), "sizes")
+    mixed = mix(sizes, size="size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -91,16 +94,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-def _with_workers(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """``f``, with this package's folder on the path of Python workers, wherever the driver was started."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_SENT: set[str] = set()
+
+
+def _send_package(spark: SparkSession) -> None:
+    """Send this package to all Python workers, once per application, as ``spark-submit --py-files`` does.
 
+    Not done where it is installed or sent already in that way (``spark.submit.pyFiles``).
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SENT or "perilmesh" in (spark.conf.get("spark.submit.pyFiles", "") or ""):
+        return
+    _SENT.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='perilmesh-')}/perilmesh.zip"  # the driver serves it to executors from there
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(path)
+
+
+def _with_workers(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        env = spark.sparkContext.environment
-        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-        if root not in paths:
-            env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+        _send_package(spark)
         return f(spark, sf_dir)
 
     return run

@@ -103,12 +103,45 @@ def test_token_counts_equal_the_library(spark, odd, none, sf):
     path, library = _library()
     count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
     for docs, size in ((spark.read.parquet(f"{sf}/documents.parquet"), 500), (odd, 11), (odd, 1 << 18)):
-        want = Counter((r.doc_id, len((r.text or "").encode()), count(r.text), count(r.text) > 2048) for r in docs.collect() if "<|" not in (r.text or "") or size > 11)
-        got = Counter(tuple(r) for r in token_counts(docs, path, chunk_chars=size).collect() if size > 11 or r.doc_id is not None)
+        want = Counter((r.doc_id, len((r.text or "").encode()), count(r.text), count(r.text) > 2048) for r in docs.collect())
+        got = Counter(tuple(r) for r in token_counts(docs, path, chunk_chars=size, fan=3).collect())
         assert got == want
     assert token_counts(none, path).count() == 0
 
 
+@pytest.mark.parametrize("live", [True, False])
+def test_token_counts_of_unbroken_texts(spark, live, monkeypatch):
+    """Cuts inside runs: maps of several live states; and the way in order where a map lacks the state."""
+    import perilmesh.llm.token_count as T
+
+    path, library = _library()
+    if not live:
+        monkeypatch.setattr(T, "_BEFORE", 1)
+    rng = random.Random(4)
+    texts = ["a" * 30_000, "ab" * 9000 + "'s" + "lo" * 5000, "=" * 15_000, "e\u0301" * 4000, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "x " + "haha" * 4000 + " <|endoftext|>" + "!?" * 3000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_tokens for r in T.token_counts(frame, path, chunk_chars=2000, fan=4).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_maps_compose_associatively():
+    import perilmesh.llm.token_count as T
+
+    path, library = _library()
+    t, text = T.Transducer(path), "banana" * 3000
+    places = t.cuts(text, 1500)
+    ends = [*places[1:], (len(text), False)]
+    maps = [t.chunk(text[a:b], text[max(0, a - T._BEFORE) : a] if inside else None, on) for (a, inside), (b, on) in zip(places, ends)]
+    assert len(maps) > 5 and max(map(len, maps)) > 1
+    left = maps[0]
+    for m in maps[1:]:
+        left = T.compose([left, m])
+    right = maps[-1]
+    for m in maps[-2::-1]:
+        right = T.compose([m, right])
+    assert left == right == T.compose(maps) and left[0][2] == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_counts_of_odd_strings():
     from perilmesh.llm.token_count import Transducer
 
@@ -123,7 +156,8 @@ def test_token_counts_of_odd_strings():
 # ------------------------------------------------------------- 3 language
 
 
-def test_language_identification(spark, odd, none, sf):
+def test_language_identification(spark, odd, none, sf, monkeypatch):
+    import perilmesh.llm.language_id as L
     from perilmesh.llm.common import held_out
     from perilmesh.llm.language_id import fit_profiles, identify
 
@@ -133,7 +167,10 @@ def test_language_identification(spark, odd, none, sf):
     assert sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
     got = {r.doc_id: r for r in identify(odd, profiles).collect()}
     assert len(got) == 7 and got[1].lang_pred == got[2].lang_pred == got[7].lang_pred == "und" and got[7].score == 0
-    assert fit_profiles(none).languages == [] and identify(none, fit_profiles(none)).count() == 0
+    assert fit_profiles(none) == [] and identify(none, profiles).count() == 0 and {r.lang_pred for r in identify(odd, []).collect()} == {"und"}
+    monkeypatch.setattr(L, "MOST_ENTRIES", 300)  # a language at a time
+    apart = fit_profiles(docs)
+    assert len(apart) == len(profiles[0].languages) and sorted(identify(docs, apart).collect()) == sorted(identify(docs, profiles).collect())
 
 
 def test_out_of_place_distance():
@@ -149,7 +186,7 @@ def test_out_of_place_distance():
         grams, counts = ngrams(text)
         profiles[lang] = [g for _, g in sorted((-n, g) for g, n in zip(grams.tolist(), counts.tolist()))][:20]
     model = Profiles([(k, i, g) for k, v in profiles.items() for i, g in enumerate(v)], 20)
-    for text in ("the hat", "sur le toit", "zzz"):
+    for text in ("the hat", "sur le toit", "zzz", "q"):
         far = {k: plain(text, v, 20)[0] for k, v in profiles.items()}
         best = min(sorted(far), key=far.get)
         second = sorted(far.values())[1]
@@ -202,12 +239,23 @@ def test_index_without_a_small_word_set(spark, monkeypatch):
     assert got == {1: 4, 2: 3, 3: 0}
 
 
+def test_rows_of_one_id_are_kept_apart(spark):
+    from perilmesh.llm.decontaminate import contamination
+
+    docs = spark.createDataFrame([(1, "a b x x"), (1, "x x c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    got = {r.doc_id: r.n_hit for r in contamination(docs, spark.createDataFrame([(7, "a b c d")], "item_id long, text string"), window=4).collect()}
+    assert got == {1: 0, 2: 4, None: 4}
+
+
 def test_proximity(spark):
-    from perilmesh.llm.decontaminate import proximity_matches
+    from perilmesh.llm.decontaminate import contamination, proximity_matches
 
-    docs = spark.createDataFrame([(1, "red x x blue x x x red"), (2, "blue red"), (3, None)], "doc_id long, text string")
-    pairs = spark.createDataFrame([("red", "blue")], "a string, b string")
-    assert sorted((r.doc_id, r.pos_a, r.pos_b) for r in proximity_matches(docs, pairs, 3).collect()) == [(1, 0, 3), (2, 1, 0)]
+    docs = spark.createDataFrame([(1, "red x x blue x x x red"), (2, "blue red"), (3, None), (4, "red x x x x blue")], "doc_id long, text string")
+    pairs = spark.createDataFrame([("red", "blue"), ("red", "red"), (None, "x")], "a string, b string")
+    got = sorted((r.doc_id, r.a, r.b, r.pos_a, r.pos_b) for r in proximity_matches(docs, pairs, 4).collect())
+    assert got == [(1, "red", "blue", 0, 3), (2, "red", "blue", 1, 0)]
+    near = contamination(docs, spark.createDataFrame([(7, "red blue"), (8, "x"), (9, "green red")], "item_id long, text string"), window=4, proximity=True).collect()
+    assert {r.doc_id: r.n_near for r in near} == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 # ------------------------------------------------------------- 5 mixing
@@ -234,6 +282,13 @@ def test_mixing_targets_and_copies(spark, odd, none):
                 open_.discard(k)
         frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
         assert {r.source: r.target for r in source_targets(frame, (5, 2, 1), 1.5, 2.0).collect()} == pytest.approx(target)
+    docs = [(i, f"s{i % 3}", rng.randrange(50)) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, words long")
+    want = mix(frame, size="words").collect()
+    assert sorted(mix(frame.repartition(7), size="words").collect()) == sorted(want)
+    unit = {r.doc_id: r.u for r in frame.selectExpr("doc_id", "cast(shiftrightunsigned(xxhash64(0, doc_id), 11) as double) * pow(2, -53) as u").collect()}
+    for r in want:  # floor(rate) copies, and one more by the seeded draw
+        assert r.copies == int(r.rate) + (unit[r.doc_id] < r.rate - int(r.rate)) and r.size == docs[r.doc_id][2]
     rows = mix(odd).collect()
     assert len(rows) == 8 and all(0 <= r.copies <= 2 for r in rows) and {r.doc_id: r.size for r in rows}[7] == 2
     assert sorted(map(str, rows)) == sorted(map(str, mix(odd).collect()))
@@ -387,18 +442,40 @@ def test_components_of_a_long_chain(spark):
 
 def test_license_matches(spark, none):
     from perilmesh.llm.decontaminate import words_of
-    from perilmesh.llm.license_scan import TEMPLATES, scan_licenses
+    from perilmesh.llm.license_scan import NOTICES, scan_licenses
 
-    mit = TEMPLATES["MIT"]
+    mit = NOTICES["MIT-grant"]
     bent = mit.replace("free of charge,", "free of any charge,").replace("sublicense, ", "")
     docs = [(1, "Intro words. " + mit + " tail"), (2, "x " * 50 + bent), (3, None), (4, ""), (5, "the software is free"), (6, "Released under the MIT License. " * 2), (7, mit[: len(mit) // 3])]
     got = sorted((r.doc_id, r.license, r.start_word, r.end_word, round(r.coverage, 2)) for r in scan_licenses(spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, license string")).collect())
-    assert [g for g in got if g[0] == 1] == [(1, "MIT", 2, 1 + len(words_of(mit.encode())), 1.0)]
-    assert [(g[0], g[1], g[2]) for g in got if g[0] == 2] == [(2, "MIT", 50)] and got[[g[0] for g in got].index(2)][4] > 0.95
+    assert [g for g in got if g[0] == 1] == [(1, "MIT-grant", 2, 1 + len(words_of(mit.encode())), 1.0)]
+    assert [(g[0], g[1], g[2]) for g in got if g[0] == 2] == [(2, "MIT-grant", 50)] and got[[g[0] for g in got].index(2)][4] > 0.95
     assert [g[:4] for g in got if g[0] == 6] == [(6, "MIT-notice", 0, 4), (6, "MIT-notice", 5, 9)]
     assert {g[0] for g in got} == {1, 2, 6} and scan_licenses(none).count() == 0
 
 
+def test_whole_licenses_with_edits(spark, monkeypatch):
+    """Recall of each whole text with a word in thirty changed, and of a block at a time."""
+    import perilmesh.llm.license_scan as L
+
+    rng = random.Random(11)
+    whole = {k: v for k, v in L.library().items() if k not in L.NOTICES}
+    docs = []
+    for i, (name, text) in enumerate(sorted(whole.items())):
+        words = text.split()
+        bent = [rng.choice(["foo", w + "x"]) if rng.random() < 1 / 30 else w for w in words]
+        docs.append((i, "some words before " + " ".join(bent) + " and after"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = L.scan_licenses(frame).collect()
+    by = {(r.doc_id, r.license): r for r in found}
+    for i, name in enumerate(sorted(whole)):
+        assert (i, name) in by and by[i, name].coverage > 0.9 and abs(by[i, name].start_word - 3) <= 2, name
+    other = sorted((r.doc_id, r.license) for r in found if r.license in whole and r.license != sorted(whole)[r.doc_id])
+    assert {sorted(whole)[i] for i, _ in other} <= {"BSD-3-Clause", "BSD-2-Clause"}
+    monkeypatch.setattr(L, "MOST_BYTES", 40_000)
+    assert sorted(L.scan_licenses(frame).collect()) == sorted(found)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     from perilmesh.llm.license_scan import align
 
@@ -439,33 +516,66 @@ def test_line_dedup_against_plain(spark, odd, none, sf, batches):
 # ------------------------------------------------------------- 10 toxicity
 
 
-def test_kernel_table_equals_the_kernel():
-    from perilmesh.llm.toxicity import _codes, _places, train
+def test_kernel_of_spans_against_plain():
+    from perilmesh.llm.toxicity import DECAY, SPAN, kernel, spans
+
+    def plain(a, b):
+        def weights(word):
+            out, s = Counter(), f" {word} "
+            for i in range(len(s) - 1):  # tuples start in the span and may end in the space behind it
+                rest = range(i + 1, min(len(s), i + SPAN))
+                for j in rest:
+                    for k in (k for k in rest if k > j):
+                        out[s[i] + s[j] + s[k]] += DECAY ** (k - i - 2)
+                        for m in (m for m in rest if m > k):
+                            out[s[i] + s[j] + s[k] + s[m]] += DECAY ** (m - i - 3)
+            return out, len(s) ** 0.5
+
+        (x, n), (y, m) = weights(a), weights(b)
+        return sum(w * y[t] for t, w in x.items()) / n / m
+
+    for a, b in (("idiot", "idixot"), ("the house", "the horse"), ("abc", "xyz"), ("a", "a")):
+        both = [kernel(a, b), kernel(b, a)]
+        assert both[0] == pytest.approx(both[1]) and both[0] == pytest.approx(plain(a, b), abs=0.1)
+    assert kernel("idiot", "idixot") > 3 * kernel("idiot", "ribbon")
+    s = spans(["One two three. Four\n\nfive! a.b", "", "..."])
+    assert s.owner.tolist() == [0, 0, 0, 0, 0] or set(s.owner.tolist()) == {0}
+
+
+def test_toxicity_learns_insults_from_sentences(spark):
+    from perilmesh.llm.toxicity import ToxicityModel, _features, spans, train
 
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randrange(4, 9)))
-    clean = [" ".join(word() for _ in range(12)) + "." for _ in range(300)]
-    insults = ["zorgak", "blixit", "quenfu"]
-    toxic = [f"{t} {rng.choice(insults)} {rng.choice(insults)}" for t in (" ".join(word() for _ in range(12)) for _ in range(200))]
-    model = train([(t, 0) for t in clean] + [(t, 1) for t in toxic])
-    at, w = _places(6)
-    assert abs((w * w).sum() - 1) < 1e-9 and at.shape[1] == 3
-    codes, weights = _codes(["zorgak"], model.alphabet)[0]
-    assert model.values(["zorgak"])[0] == pytest.approx(max(model.bias, model.bias + (model.table[codes] * weights).sum()))
-    score = lambda t: float(model.score(max(model.values(t.split()))))
-    assert min(score(x) for x in insults) >= 0.3 and min(score(x) for x in ("zor.gak", "blixxit")) > 0.2
-    fresh = [" ".join(word() for _ in range(12)) for _ in range(100)]
-    assert sum(score(t) >= 0.3 for t in fresh) <= 5
+    say = lambda n, more="": " ".join([*(word() for _ in range(n)), more, *(word() for _ in range(n))]) + "."
+    insults = ["zorgak", "blixit", "quenfu", "hic sunt"]
+    clean = [" ".join(say(5) for _ in range(3)) for _ in range(300)] + [f"{say(4)} {w} {say(3)}" for w in ("hic", "sunt") for _ in range(40)]
+    toxic = [f"{say(4)} {say(3, rng.choice(insults))} {say(4)}" for _ in range(240)]
+    model = train([spans([t]) for t in clean], [spans([t]) for t in toxic], rounds=3)
+    score = lambda t: float(model.score(model.of_texts([t]))[0])
+    fresh = [say(10) for _ in range(200)]
+    assert sum(score(t) >= 0.3 for t in fresh) <= 6
+    held = [say(4, rng.choice(insults)) for _ in range(100)]
+    assert sum(score(t) >= 0.3 for t in held) >= 90
+    near = [say(4, x) for x in ("zor.gak", "blixxit", "blixiit", "quenffu", "zorgaak") for _ in range(20)]
+    assert sum(score(t) >= 0.3 for t in near) >= 60
+    s = spans(["blixit zorgak"])  # the table is the machine: its value is linear in a span's features
+    at, w = _features(s.codes, int(s.starts[0]), int(s.ends[0]))
+    assert model.values(s)[0] == pytest.approx(model.bias + float((model.table[at] * w).sum()), rel=1e-4)
+    long = " ".join([word() for _ in range(90_000)] + ["zorgak"] + [word() for _ in range(20_000)])
+    assert model.of_texts([long, None, ""])[0] >= model.of_texts(["zorgak"])[0] - 1.5 and isinstance(model, ToxicityModel)
+    assert model.of_texts(["!! ...", None]).tolist() == [model.bias] * 2
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
-    from perilmesh.llm.toxicity import fit_toxicity, score_toxicity, train
+    from perilmesh.llm.toxicity import fit_toxicity, score_toxicity, spans, train
 
     labels = spark.createDataFrame([(2, 1, 0), (3, 1, None), (None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
-    for model in (fit_toxicity(odd, labels), train([]), train([("x", 1)]), fit_toxicity(none, labels)):
+    for model in (fit_toxicity(odd, labels), train([], []), train([], [spans(["x"])]), fit_toxicity(none, labels)):
         rows = score_toxicity(odd, model).collect()
         assert len(rows) == 8 and all(0 <= r.toxicity_score <= 1 and r.toxic_predicted == int(r.toxicity_score >= 0.3) for r in rows)
-    assert score_toxicity(none, train([])).count() == 0
+        assert len({r.toxicity_score for r in rows if r.doc_id == 3}) == 1
+    assert score_toxicity(none, train([], [])).count() == 0
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -476,4 +586,19 @@ def test_toxicity_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = score_toxicity(docs.where(held_out()), fit_toxicity(docs, labels)).join(labels, "doc_id").select("toxic", "toxic_predicted").collect()
     c = Counter((r.toxic, r.toxic_predicted) for r in rows)
-    assert c[1, 1] >= 0.75 * (c[1, 0] + c[1, 1]) and c[0, 1] <= 0.05 * (c[0, 0] + c[0, 1])
+    assert c[1, 1] >= 0.8 * (c[1, 0] + c[1, 1]) and c[0, 1] <= 0.03 * (c[0, 0] + c[0, 1])
+
+
+# ------------------------------------------------------------- columns of any name
+
+
+def test_clashing_columns_come_back(spark):
+    from perilmesh.llm.line_dedup import dedup_lines
+    from perilmesh.llm.mixing import mix
+    from perilmesh.llm.toxicity import score_toxicity, train
+
+    names = ["_lost", "_source", "_seed", "_size", "_row", "a.b", "h", "fp", "rate", "n_lines", "Copies"]
+    docs = spark.createDataFrame([(1, "a line of words\nx", "s", *range(11)), (2, "a line of words\ny", "s", *range(11))], "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    for out in (dedup_lines(docs), mix(docs), score_toxicity(docs, train([], []))):
+        rows = out.collect()
+        assert len(rows) == 2 and all(r["a.b"] == 5 and r["_lost"] == 0 and r["_source"] == 1 for r in rows)
