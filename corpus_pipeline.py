@@ -36,7 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = dedup_lines(docs.select(*COLUMNS))
-    emptied = (F.col("n_dropped") > 0) & (F.length(F.trim("text")) == 0)
+    emptied = (F.col("n_dropped") > 0) & F.col("text").rlike(r"\A[\x20\x09-\x0D]*\z")
     return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
