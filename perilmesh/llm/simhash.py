@@ -12,12 +12,12 @@ radius 2 has 2081 words, which bounds every anchor's group whatever the data.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, binary, staged
@@ -51,27 +51,34 @@ def fingerprints(docs: DataFrame, *, words_each: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (position - 1).cast("int"))
+@lru_cache(maxsize=2)
+def _flips(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome the masks that turn a word of it into its code words within 2 bits, and how many there are."""
+    bit = lambda p: 1 << (p - 1)
+    rows = []
+    for s in range(length + 1):
+        near = bit(s) if s else 0
+        rows.append([near, near ^ 1 << length] + [bit(i) ^ bit(i ^ s) for i in range(1, length + 1) if s and i ^ s > i])
+    table = np.zeros((length + 1, max(map(len, rows))), np.uint64)
+    for s, row in enumerate(rows):
+        table[s, : len(row)] = row
+    return table, np.array([len(r) for r in rows])
 
 
-def anchors(fp: Column, length: int = 63) -> Column:
-    """All code words within 2 bits of ``fp``, as an array; fp has length + 1 bits, length is 63 or 31.
+def anchors(words: np.ndarray, length: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """All code words within 2 bits of each of ``words`` (uint64 of length + 1 bits, length is 63 or 31), and whose they are.
 
-    The syndrome of the lower bits is the exclusive or of the positions
-    (1 to length) of its ones; flipping bits whose positions combine to the syndrome
-    gives a code word.
+    The syndrome of the lower bits is the exclusive or of the positions (1 to length) of its ones;
+    flipping bits whose positions combine to the syndrome gives a code word.
     """
-    masks = [sum(1 << (p - 1) for p in range(1, length + 1) if p >> k & 1) for k in range(length.bit_length())]
-    parities = [F.call_function("shiftleft", F.bit_count(fp.bitwiseAND(F.lit(m))) % 2, F.lit(k)) for k, m in enumerate(masks)]
-    syndrome = sum(parities[1:], parities[0]).cast("long")
-    top = F.lit(-(1 << 63) if length == 63 else 1 << length).cast("long")
-    near = F.when(syndrome == 0, fp).otherwise(fp.bitwiseXOR(_bit(syndrome)))
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(1).cast("long"), F.lit(length).cast("long")), lambda i: i.bitwiseXOR(syndrome) > i),
-        lambda i: fp.bitwiseXOR(_bit(i)).bitwiseXOR(_bit(i.bitwiseXOR(syndrome))),
-    )
-    return F.concat(F.array(near, near.bitwiseXOR(top)), F.when(syndrome == 0, F.array().cast("array<bigint>")).otherwise(pairs))
+    syndrome = np.zeros(len(words), np.int64)
+    for k in range(length.bit_length()):
+        mask = np.uint64(sum(1 << (p - 1) for p in range(1, length + 1) if p >> k & 1))
+        syndrome |= (np.bitwise_count(words & mask) & 1).astype(np.int64) << k
+    table, sizes = _flips(length)
+    found = words[:, None] ^ table[syndrome]
+    used = np.arange(table.shape[1]) < sizes[syndrome][:, None]
+    return found[used], np.repeat(np.arange(len(words)), sizes[syndrome])
 
 
 def _forest(fps: list[int], ids: list[int], most: int) -> list[tuple[int, int]]:
@@ -99,8 +106,15 @@ def links(classes: DataFrame, *, most: int = 2) -> DataFrame:
     """
     if not 0 <= most <= 2:
         raise ValueError("the covering serves thresholds of 0 to 2 bits")
+    def at_anchors(batches: Batches) -> Batches:
+        for b in batches:
+            fps, ids = (b[c].to_numpy() for c in ("fp", "id"))
+            for i in range(0, len(fps), 4096):
+                found, owner = anchors(fps[i : i + 4096].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(fps[i : i + 4096][owner]), pa.array(ids[i : i + 4096][owner]), pa.array(found.view(np.int64))], ["fp", "id", "anchor"])
+
     met = (
-        classes.where("id IS NOT NULL").select("fp", "id", F.explode(anchors(F.col("fp"))).alias("anchor"))
+        classes.where("id IS NOT NULL").select("fp", "id").mapInArrow(at_anchors, "fp long, id long, anchor long")
         .repartition("anchor").groupBy("anchor").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids"))
         .where(F.size("fps") > 1)
     )
@@ -141,17 +155,40 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 3, most: int = 2, simi
 # ------------------------------------------------- documents of a given similarity
 
 
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(_hash, words), np.uint64, len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
+
+
+def _grams(words: np.ndarray, each: int) -> np.ndarray:
+    """Hashes of runs of ``each`` word hashes."""
+    n = len(words) - each + 1
+    return _mixed(sum(_mixed(words[k : k + n] + _ODD[k % 8]) * _ODD[(k + 1) % 8] for k in range(each)))
+
+
 def wide_fingerprint(text: bytes) -> tuple[int, int]:
     """128 bits over the distinct words and word pairs of a text: few edits flip few of them."""
-    words = text.lower().split()
-    if not words:
+    return _wide(word_hashes(text))
+
+
+def _wide(words: np.ndarray) -> tuple[int, int]:
+    if not len(words):
         return 0, 0
-    h = np.fromiter(map(_hash, {*words, *map(b" ".join, zip(words, words[1:]))}), np.uint64)
+    h = np.unique(np.concatenate((words, _grams(words, 2)))) if len(words) > 1 else words
     out = []
-    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+    for odd in _ODD[:2]:
         ones = np.zeros(64, np.int64)
         for i in range(0, len(h), 65536):
-            x = h[i : i + 65536] * np.uint64(odd)
+            x = h[i : i + 65536] * odd
             x ^= x >> np.uint64(29)
             ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
         out.append(int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little"))
@@ -160,9 +197,13 @@ def wide_fingerprint(text: bytes) -> tuple[int, int]:
 
 def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles (of the whole text, if it has fewer words)."""
-    words = text.lower().split()
-    shingles = {b" ".join(words[i : i + words_each]) for i in range(max(1, len(words) - words_each + 1))} if words else ()
-    return np.sort(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)).view(np.int64))
+    return _shingles(word_hashes(text), words_each)
+
+
+def _shingles(words: np.ndarray, words_each: int) -> np.ndarray:
+    if not len(words):
+        return np.empty(0, np.int64)
+    return np.unique(_grams(words, min(words_each, len(words))).view(np.int64))
 
 
 _BINS = 128
@@ -269,10 +310,6 @@ def _across(batches: Batches, near: int) -> Batches:
     yield _pairs(out)
 
 
-def _of_quarter(anchor_words: Column, quarter: int) -> Column:
-    return F.transform(anchor_words, lambda x: x + F.lit(quarter << 32))
-
-
 def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, near: int = 32, block: int = 4096) -> DataFrame:
     """Links (a, b) of doc_ids whose texts' word shingles have a Jaccard similarity of ``least`` (0.8 or more).
 
@@ -292,20 +329,31 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
 
     def sketch(batches: Batches) -> Batches:
         for b in batches:
-            texts = [t or b"" for t in binary(b["text"])]
-            found = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            sets = [shingle_hashes(t, words_each) for t in texts]
-            small = np.array([small_sketch(s) if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
-            same_words = pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x[:, i]) for x in (found, small) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), same_words], ["id", "w0", "w1", "s0", "s1", "n", "words"])
+            found, small, sizes, same_words = [], [], [], []
+            for text in binary(b["text"]):
+                words = word_hashes(text or b"")
+                shingles = _shingles(words, words_each)
+                found.append(_wide(words))
+                small.append(small_sketch(shingles) if len(shingles) else (0, 0))
+                sizes.append(len(shingles))
+                same_words.append(xxhash.xxh3_128_digest(words.tobytes()))
+            found, small = np.array(found, np.uint64).reshape(-1, 2).view(np.int64), np.array(small, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x[:, i]) for x in (found, small) for i in (0, 1)), pa.array(sizes, pa.int64()), pa.array(same_words, pa.binary())], ["id", "w0", "w1", "s0", "s1", "n", "words"])
 
     # texts of the same words in order have equal fingerprints, which link them; all others go on, even under one hash
     each = kept.mapInArrow(sketch, "id long, w0 long, w1 long, s0 long, s1 long, n long, words binary").where("n > 0")
     wide = staged(each.groupBy("w0", "w1", "s0", "s1", "n", "words").agg(F.min("id").alias("id")).drop("words"), "wide")
-    low = F.lit((1 << 32) - 1)
-    quarters = [F.col("w0").bitwiseAND(low), F.shiftrightunsigned("w0", 32), F.col("w1").bitwiseAND(low), F.shiftrightunsigned("w1", 32)]
-    keys = F.concat(*(_of_quarter(anchors(q, 31), k) for k, q in enumerate(quarters)))
-    met = wide.select("id", F.explode(keys).alias("key"))
+
+    def at_anchors(batches: Batches) -> Batches:
+        for b in batches:
+            ids, w = b["id"].to_numpy(), np.stack([b[c].to_numpy() for c in ("w0", "w1")], axis=1)
+            for i in range(0, len(ids), 4096):
+                quarters = np.ascontiguousarray(w[i : i + 4096]).view(np.uint32).astype(np.uint64)
+                for k in range(4):
+                    found, owner = anchors(quarters[:, k], 31)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096][owner]), pa.array((found | np.uint64(k << 32)).view(np.int64))], ["id", "key"])
+
+    met = wide.select("id", "w0", "w1").mapInArrow(at_anchors, "id long, key long")
     crowded = staged(met.groupBy("key").count().where("count > 1"), "crowded")
     crowds = staged(met.join(crowded, "key"), "crowds")  # key, id, count
 
@@ -327,16 +375,17 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
     crowds = labelled(crowds.select("key", "id"))
     if crowds.isEmpty():
         return found
-    # of each component at an anchor the row with the most links goes on to the next round of leaders
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    hubs = crowds.join(ends, "id", "left").groupBy("key", "label").agg(F.max_by("id", F.coalesce("links", F.lit(0)) * F.lit(1.0) - F.col("id") * F.lit(2.0**-64)).alias("id"))
-    many = hubs.groupBy("key").agg(F.count("*").alias("count"))
-    chosen = hubs.join(many, "key").select("key", "id", of_block(F.col("count")).alias("block"), "label", F.lit(True).alias("home"))
-    more = staged(dealt(chosen).mapInArrow(lambda b: _led(b, near), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    tried, found = tried.unionByName(more), found.unionByName(_checked(kept, more, words_each, least))
-    crowds = labelled(crowds.select("key", "id"))
-    if crowds.isEmpty():
-        return found
+    if not crowded.where(F.col("count") > block).isEmpty():
+        # blocks were cut: of each component at an anchor the row with the most links goes on to another round of leaders
+        ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        hubs = crowds.join(ends, "id", "left").groupBy("key", "label").agg(F.max_by("id", F.coalesce("links", F.lit(0)) * F.lit(1.0) - F.col("id") * F.lit(2.0**-64)).alias("id"))
+        many = hubs.groupBy("key").agg(F.count("*").alias("count"))
+        chosen = hubs.join(many, "key").select("key", "id", of_block(F.col("count")).alias("block"), "label", F.lit(True).alias("home"))
+        more = staged(dealt(chosen).mapInArrow(lambda b: _led(b, near), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried, found = tried.unionByName(more), found.unionByName(_checked(kept, more, words_each, least))
+        crowds = labelled(crowds.select("key", "id"))
+        if crowds.isEmpty():
+            return found
     sizes = crowds.groupBy("key", "label").agg(F.count("*").alias("rows"))
     largest = staged(sizes.groupBy("key").agg(F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("rows")).select("key", F.col("top.label").alias("main"), F.ceil(F.col("rows") / F.lit(float(block))).cast("int").alias("blocks")), "largest")
     spread = crowds.join(largest, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

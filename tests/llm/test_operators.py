@@ -330,25 +330,19 @@ def test_sketch_recovers_differences():
 # ------------------------------------------------------------- 7 simhash
 
 
-def test_anchors_cover_all_close_pairs(spark):
+@pytest.mark.parametrize("length", [63, 31])
+def test_anchors_cover_all_close_pairs(length):
     from perilmesh.llm.simhash import anchors
-    from pyspark.sql import functions as F
 
     rng = random.Random(4)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = []
-    for n in range(60):
-        x = rng.getrandbits(64)
-        for k, flips in enumerate([(), (rng.randrange(64),), tuple(rng.sample(range(64), 2)), (63, rng.randrange(63))]):
-            y = x
-            for f in flips:
-                y ^= 1 << f
-            rows.append((n, k, signed(y)))
-    got = defaultdict(dict)
-    for r in spark.createDataFrame(rows, "n long, k long, fp long").select("n", "k", anchors(F.col("fp")).alias("a")).collect():
-        assert len(set(r.a)) == len(r.a) <= 33
-        got[r.n][r.k] = set(r.a)
-    assert all(sets[0] & sets[k] for sets in got.values() for k in (1, 2, 3))
+    for _ in range(60):
+        x = rng.getrandbits(length + 1)
+        flips = [(), (rng.randrange(length + 1),), tuple(rng.sample(range(length + 1), 2)), (length, rng.randrange(length))]
+        words = [x ^ sum(1 << f for f in own) for own in flips]
+        found, owner = anchors(np.array(words, np.uint64), length)
+        sets = [set(found[owner == i].tolist()) for i in range(4)]
+        assert all(len(s) == np.count_nonzero(owner == i) <= 33 and all((a ^ words[i]).bit_count() <= 2 for a in s) for i, s in enumerate(sets))
+        assert all(sets[0] & s for s in sets)
 
 
 def test_near_duplicates_against_all_pairs(spark, odd, none, sf):
@@ -416,6 +410,26 @@ def test_chains_of_near_copies_against_all_pairs(spark):
     assert all(whole[i] == whole[c] for i, c in got.items())
 
 
+def test_similar_texts_in_blocks(spark):
+    """A crowd at one anchor that is cut into blocks: versions of one text, each similar to it alone."""
+    from perilmesh.llm.simhash import shingle_hashes, similar_links
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(80):
+        own = list(base)
+        for p in rng.sample(range(300), 5):
+            own[p] = word()
+        texts.append(" ".join(own))
+    sets = [set(shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(81) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) < 200
+    found = similar_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=16).collect()
+    assert linked(range(81), [(r.a, r.b) for r in found]) == linked(range(81), alike)
+
+
 def test_similar_texts_of_an_equal_wide_hash(spark):
     """A passage repeated more or less often: the same words and pairs, so one 128-bit hash."""
     from perilmesh.llm.simhash import similar_links, wide_fingerprint
