@@ -93,13 +93,40 @@ KNOTS_TO_MPH = 1.150779448
 
 # Words in column names that stand for personal data, by kind, and words that make them harmless (fixed values).
 PII = {
-    "name": "name firstname lastname middlename surname givenname fname lname mname fullname fn ln mn nm",
-    "address": "address addr addrs street st1 st2 postal postcode apt unit suite addressline addressline1 addressline2 mailing billing shipping",
-    "contact": "phone phn tel telephone mobile cell cellphone mob fax email em mail emailaddress emailaddr",
-    "id": "ssn sin nin ein itin taxid tin passport passportno license licenseno driverslicense dl driverlicense nationalid governmentid govid",
-    "financial": "creditcard credit cc ccnum ccnumber cardnumber bankaccount iban swift routingnumber aba cvv cvc pin",
-    "biometric": "fingerprint biometric iris retina facial photo photograph",
-    "age_dob": "dob birth birthdate birthday dateofbirth dtbirth age",
-    "medical": "medical health diagnosis condition medication prescription hipaa",
+    "name": [
+        "name", "firstname", "lastname", "middlename", "surname", "givenname", "fname", "lname", "mname", "fullname", "fn", "ln", "mn", "nm",
+    ],
+    "address": [
+        "address", "addr", "addrs", "street", "st1", "st2", "postal", "postcode", "apt", "unit", "suite", "addressline", "addressline1",
+        "addressline2", "mailing", "billing", "shipping",
+    ],
+    "contact": [
+        "phone", "phn", "tel", "telephone", "mobile", "cell", "cellphone", "mob", "fax", "email", "em", "mail", "emailaddress", "emailaddr",
+    ],
+    "id": [
+        "ssn", "sin", "nin", "ein", "itin", "taxid", "tin", "passport", "passportno", "license", "licenseno", "driverslicense", "dl",
+        "driverlicense", "nationalid", "governmentid", "govid",
+    ],
+    "financial": [
+        "creditcard", "credit", "cc", "ccnum", "ccnumber", "cardnumber", "bankaccount", "iban", "swift", "routingnumber", "aba", "cvv", "cvc", "pin",
+    ],
+    "biometric": [
+        "fingerprint", "biometric", "iris", "retina", "facial", "photo", "photograph",
+    ],
+    "age_dob": [
+        "dob", "birth", "birthdate", "birthday", "dateofbirth", "dtbirth", "age",
+    ],
+    "medical": [
+        "medical", "health", "diagnosis", "condition", "medication", "prescription", "hipaa",
+    ],
 }
-PII_ALLOWED = "business company organization org entity product policy plan role job title department team group category type class event incident claim station storm peril tag code segment cluster cohort risk rate"
+PII_ALLOWED = [
+    "business", "company", "organization", "org", "entity", "product", "policy", "plan", "role", "job", "title", "department", "team", "group",
+    "category", "type", "class", "event", "incident", "claim", "station", "storm", "peril", "tag", "code", "segment", "cluster", "cohort", "risk",
+    "rate",
+]
+
+# Ranges of the perils whose severity is a number (fixed values); the others have LEVELS.
+SCALE_RANGE = {"earthquake": (5.0, 9.0), "hail": (10.0, 120.0)}
+# Rank of storm classes (fixed values).
+STORM_RANK = {"LO": 0, "PT": 1, "DB": 1, "STD": 2, "TD": 2, "STS": 3, "TS": 3, "HU": 4, "MH": 5}

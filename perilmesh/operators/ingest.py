@@ -9,10 +9,19 @@ from ..functions import fixed as X
 
 #: The book's fields with the column names they go by (fixed values).
 FIELDS = {
-    "policy_id": "policy_id policyid policy id pol_id", "state": "state st province", "zip3": "zip3 zip_3 zip postal", "lat": "lat latitude", "lon": "lon lng long longitude",
-    "tiv": "tiv total_insured_value insured_value value", "build_type": "build_type buildtype construction build", "flood_zone": "flood_zone floodzone flood fema_zone zone", "county": "county",
-    "build_year": "build_year buildyear year_built yob", "elevation_m": "elevation_m elevation elev", "premium_annual": "premium_annual premium annual_premium",
-}
+    "policy_id": ["policy_id", "policyid", "policy", "id", "pol_id"],
+    "state": ["state", "st", "province"],
+    "zip3": ["zip3", "zip_3", "zip", "postal"],
+    "lat": ["lat", "latitude"],
+    "lon": ["lon", "lng", "long", "longitude"],
+    "tiv": ["tiv", "total_insured_value", "insured_value", "value"],
+    "build_type": ["build_type", "buildtype", "construction", "build"],
+    "flood_zone": ["flood_zone", "floodzone", "flood", "fema_zone", "zone"],
+    "county": ["county"],
+    "build_year": ["build_year", "buildyear", "year_built", "yob"],
+    "elevation_m": ["elevation_m", "elevation", "elev"],
+    "premium_annual": ["premium_annual", "premium", "annual_premium"],
+}
 
 
 def validate(raw: DataFrame) -> DataFrame:
@@ -53,8 +62,8 @@ def classify_columns(names: DataFrame) -> DataFrame:
 
     The first word that stands for personal data decides, unless any word makes the name harmless.
     """
-    kinds = F.create_map(*(F.lit(x) for kind, words in X.PII.items() for w in words.split() for x in (w, kind)))
-    allowed = F.array(*map(F.lit, X.PII_ALLOWED.split()))
+    kinds = F.create_map(*(F.lit(x) for kind, words in X.PII.items() for w in words for x in (w, kind)))
+    allowed = F.array(*map(F.lit, X.PII_ALLOWED))
     rows = names.withColumn("tokens", name_tokens("name"))
     matched = F.get(F.filter("tokens", lambda w: F.map_contains_key(kinds, w)), F.lit(0))
     rows = rows.withColumn("matched_token", matched).withColumn("category", F.try_element_at(kinds, F.coalesce("matched_token", F.lit(""))))
@@ -70,7 +79,7 @@ def suggest_mapping(names: DataFrame) -> DataFrame:
     with the highest score (ties in field order); names of personal data are left out.
     """
     spark = names.sparkSession
-    fields = spark.createDataFrame([(i, f, a) for i, (f, al) in enumerate(FIELDS.items()) for a in al.split()], "ord int, field string, alias string")
+    fields = spark.createDataFrame([(i, f, a) for i, (f, al) in enumerate(FIELDS.items()) for a in al], "ord int, field string, alias string")
     bare = lambda c: F.regexp_replace(F.lower(c), "[\\s_-]", "")
     words = lambda c: F.split(F.lower(c), "[\\s_\\-./]+")
     own = classify_columns(names).where("NOT is_pii").select("name").withColumn("pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
@@ -84,3 +93,12 @@ def suggest_mapping(names: DataFrame) -> DataFrame:
     by_column = scored.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "ord"))).where("r = 1")
     by_field = by_column.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("score"), "pos"))).where("r = 1")
     return fields.select("ord", "field").distinct().join(by_field.select("field", "name", "score"), "field", "left").orderBy("ord").select("field", "name", "score")
+
+
+def mapped(rows: DataFrame, mapping: dict[str, str], *, refused: list[str], file: str, at: str, index: str) -> DataFrame:
+    """Columns of ``rows`` renamed by ``mapping`` (field to column), and the lineage of each as JSON.
+
+    src_row is the number of the row in its file: ``index`` (from 0) and the header line before it.
+    """
+    source = F.struct(F.lit(file).alias("src_file"), (F.col(index) + 2).alias("src_row"), F.lit(at).alias("mapped_at"), F.array_sort(F.array(*map(F.lit, refused))).alias("refused_columns"))
+    return rows.select(*(F.col("`" + c + "`").alias(f) for f, c in mapping.items()), F.to_json(source).alias("lineage"))
