@@ -11,7 +11,7 @@ from ..operators import loss as L
 from .domain import BOOK, COHORTED, COHORTS, oracle, policies, table
 
 QUERIES: dict = {}
-DRAWS = 100
+DRAWS = 1000
 
 
 def query(sql: str | None = None):
@@ -80,12 +80,12 @@ _AAL = "CASE peril " + " ".join(f"WHEN '{p}' THEN total_tiv * (CASE state " + "
 _SIGMA = "CASE peril " + " ".join(f"WHEN '{p}' THEN {s!r}::DOUBLE" for p, s in X.AAL_SIGMA.items()) + " END"
 _PERILS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(X.AAL_RATE))
 OVERLAY_SQL = f"""overlay AS (SELECT cohort_id, peril, k, round(exp(ln(aal) - s * s / 2 + s * z), 2) AS loss FROM (
-  SELECT cohort_id, peril, k, {_AAL} AS aal, {_SIGMA} AS s, {normal_sql(f"({_NUMBER} * 10 + stream + 1) * 1000 + k")} AS z FROM cohorts, (VALUES {_PERILS}) p(stream, peril), (SELECT unnest(range(20)) AS k)))"""
+  SELECT cohort_id, peril, k, {_AAL} AS aal, {_SIGMA} AS s, {normal_sql(f"({_NUMBER} * 10 + stream + 1) * 1000 + k")} AS z FROM cohorts, (VALUES {_PERILS}) p(stream, peril), (SELECT unnest(range({DRAWS})) AS k)))"""
 
 
 @query(oracle(*COHORTS, OVERLAY_SQL, "SELECT peril, k, round(sum(loss::DECIMAL(18,4))::DOUBLE, 2) AS loss FROM overlay GROUP BY peril, k"))
 def r5_peril_overlay(spark, d):
-    return L.peril_overlay(_cohorts(spark, d), 20).groupBy("peril", "k").agg(F.round(S.money_sum("loss"), 2).alias("loss"))
+    return L.peril_overlay(_cohorts(spark, d), DRAWS).groupBy("peril", "k").agg(F.round(S.money_sum("loss"), 2).alias("loss"))
 
 
 @query(oracle(*LOSSES, f"SELECT cohort_id, k, round(loss * (1 + 0.3::DOUBLE * {normal_sql('k + 77')}), 2) AS loss FROM losses"))

@@ -112,10 +112,10 @@ def a38_profit_and_loss(spark, d):
 
 
 @query(oracle(*ACTED, DOMINANT_SQL, PRIOR_SQL, f"""kept AS (SELECT k, sum((CASE WHEN action = 'cede_xs' THEN least(loss, 1.5::DOUBLE * loss_p50) + greatest(0::DOUBLE, loss - greatest(2::DOUBLE * (loss_p50 * 7.2::DOUBLE), 1.5::DOUBLE * loss_p50)) ELSE loss * {_LOSS} END)::DECIMAL(18,4))::DOUBLE AS loss
-  FROM losses JOIN (SELECT dom.cohort_id, dom.action, c.loss_p50 FROM dom JOIN cohorts c USING (cohort_id)) USING (cohort_id) GROUP BY k)""", "SELECT k, round(loss, 2) AS loss FROM kept"))
+  FROM losses JOIN (SELECT dom.cohort_id, dom.action, c.loss_p50 FROM dom JOIN cohorts c USING (cohort_id)) USING (cohort_id) GROUP BY k)""", "SELECT k, round(loss, 4) AS loss FROM kept"))
 def a16_retained_losses(spark, d):
     c = _cohorts(spark, d).withColumn("loss_p99", F.col("loss_p50") * 7.2)
-    return V.retained_losses(L.prior_losses(c, DRAWS), _actions(c), c).select("k", F.round("loss", 2).alias("loss"))
+    return V.retained_losses(L.prior_losses(c, DRAWS), _actions(c), c).select("k", F.round("loss", 4).alias("loss"))
 
 
 @query(oracle(*ACTED, f"SELECT 'd' || tiv_quintile AS decision_id, tiv_quintile % 2 = 1 AS drifted, round(sum((share * {_LOSS} * CASE WHEN policy_count % 7 <> 0 THEN loss_p50 ELSE 0 END)::DECIMAL(18,4))::DOUBLE, 2) AS retained, count(DISTINCT cohort_id) FILTER (WHERE policy_count % 7 = 0) AS missing FROM (SELECT a.cohort_id, a.action, a.share, c.loss_p50, c.policy_count, c.tiv_quintile FROM acts a JOIN cohorts c USING (cohort_id)) GROUP BY 1, 2"))
