@@ -155,3 +155,32 @@ def read_book_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_claims_csv(claims: DataFrame, path: str) -> None:
     """Claims list as CSV: losses in whole dollars, nulls empty."""
     claims.select("id", "zip3", "cohort_id", "tiv", "severity", F.coalesce(F.format_string("%.0f", "expected_loss"), F.lit("")).alias("expected_loss")).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
+def _coordinate(number: str, text: str, negative: str) -> Column:
+    """A decimal field, or else a text such as 28.5N; null if neither is a number."""
+    found = F.regexp_extract(F.trim(text), r"(?i)^(-?[0-9]+(?:\.[0-9]+)?)\s*([NSEW])$", 1)
+    side = F.upper(F.regexp_extract(F.trim(text), r"(?i)([NSEW])$", 1))
+    signed = F.when(side == negative, -found.try_cast("double")).otherwise(found.try_cast("double"))
+    return F.coalesce(F.col(number).try_cast("double"), F.when(found != "", signed), F.col(text).try_cast("double"))
+
+
+def active_storms(lines: DataFrame) -> DataFrame:
+    """Storms of a JSON line each (value): numbers may be texts, blanks are null; a storm without an id goes.
+
+    Returns id (upper case), basin (its first two letters), name, classification, intensity_kt, pressure_mb, latitude, longitude, last_update.
+    """
+    fields = ["id", "name", "classification", "intensity", "pressure", "latitudeNumeric", "latitude", "longitudeNumeric", "longitude", "lastUpdate"]
+    raw = lines.select(F.from_json("value", ", ".join(f"{f} string" for f in fields)).alias("j")).select("j.*").where("trim(id) <> ''")
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    key = F.upper(F.trim("id"))
+    return raw.select(
+        key.alias("id"), F.substring(key, 1, 2).alias("basin"), blank("name").alias("name"), F.upper(blank("classification")).alias("classification"), F.col("intensity").try_cast("double").alias("intensity_kt"), F.col("pressure").try_cast("double").alias("pressure_mb"),
+        _coordinate("latitudeNumeric", "latitude", "S").alias("latitude"), _coordinate("longitudeNumeric", "longitude", "W").alias("longitude"), blank("lastUpdate").alias("last_update"),
+    )
+
+
+def read_storm_events(spark: SparkSession, path: str, states: list[str], kinds: list[str]) -> DataFrame:
+    """Rows of gzipped or plain CSV event files (Latin-1, with a header) of some states and event types, once per EVENT_ID."""
+    rows = spark.read.options(header=True, encoding="ISO-8859-1", multiLine=True, escape='"').csv(path)
+    return rows.where(F.upper("STATE").isin(*(s.upper() for s in states)) & F.col("EVENT_TYPE").isin(*kinds) & F.col("EVENT_ID").isNotNull()).dropDuplicates(["EVENT_ID"])
