@@ -106,18 +106,38 @@ def mmi_radius_km(magnitude, mmi) -> Column:
     return F.greatest(F.lit(0.0), (1.68 * _c(magnitude) - 3.29 - _c(mmi)) / 0.0206)
 
 
-def in_ring(x, y, ring) -> Column:
-    """Whether the point is inside a closed ring, an array of structs (x, y): parity of crossings."""
+def in_ring(x, y, ring, most_points: int | None = None) -> Column:
+    """Whether the point is inside a closed ring, an array of structs (x, y): parity of crossings.
+
+    With ``most_points``, a bound on the ring's size, the edges are written out one by one, which compiles to plain code.
+    """
     x, y, ring = _c(x), _c(y), _c(ring)
 
-    def crossed(i):
-        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+    def crossed(a, b):
         return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"] + 1e-15) + a["x"])
 
-    inside = F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(False), lambda acc, i: acc != crossed(i))
+    if most_points is None:
+        inside = F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(False), lambda acc, i: acc != crossed(F.element_at(ring, i), F.element_at(ring, i + 1)))
+    else:
+        edges = (F.coalesce(crossed(F.get(ring, F.lit(i)), F.get(ring, F.lit(i + 1))), F.lit(False)).cast("int") for i in range(most_points - 1))
+        inside = sum(edges, F.lit(0)) % 2 == 1
     return F.when(F.size(ring) >= 4, inside).otherwise(False)
 
 
+def ring_distance(x, y, ring) -> Column:
+    """Plane distance of a point to the nearest edge of a closed ring, in the ring's units."""
+    x, y, ring = _c(x), _c(y), _c(ring)
+
+    def to_edge(i):
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy)
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.size(ring) - 1), to_edge))
+
+
 def reprice_factor(change, elasticity=X.ELASTICITY) -> Column:
     return (1 + _c(change)) * (1 - elasticity * F.greatest(_c(change), F.lit(0.0)))
 

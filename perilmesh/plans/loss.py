@@ -93,24 +93,23 @@ def r6_common_factor(spark, d):
     return L.common_factor(_losses(spark, d), 0.3)
 
 
-# draws move a box around its middle
+# each draw moves every vertex of a box, and scales all its losses by one common factor
 _BOX = (-84.0, 26.0, -80.0, 29.5)
-RINGS_SQL = f"""rings AS (SELECT k, {_BOX[0]}::DOUBLE + e AS x0, {_BOX[1]}::DOUBLE + f AS y0, {_BOX[2]}::DOUBLE + e AS x1, {_BOX[3]}::DOUBLE + f AS y1
-  FROM (SELECT k, 0.05::DOUBLE * {normal_sql('k * 2 + 5000')} AS e, 0.05::DOUBLE * {normal_sql('k * 2 + 5001')} AS f FROM (SELECT unnest(range(50)) AS k)))"""
+_VERTICES = ((_BOX[0], _BOX[1]), (_BOX[2], _BOX[1]), (_BOX[2], _BOX[3]), (_BOX[0], _BOX[3]))
+RINGS_SQL = "rings AS (SELECT k, " + ", ".join(f"{a}::DOUBLE + 0.05::DOUBLE * {normal_sql(f'k * 8 + {5000 + 2 * i}')} AS x{i}, {b}::DOUBLE + 0.05::DOUBLE * {normal_sql(f'k * 8 + {5001 + 2 * i}')} AS y{i}" for i, (a, b) in enumerate(_VERTICES)) + f", greatest(0::DOUBLE, 1 + 0.3::DOUBLE * {normal_sql('k + 77')}) AS factor FROM (SELECT unnest(range({DRAWS})) AS k))"
+_INSIDE = "(" + " + ".join(f"((y{i} > lat) <> (y{j} > lat) AND lon < (x{j} - x{i}) * (lat - y{i}) / (y{j} - y{i} + 1e-15::DOUBLE) + x{i})::INT" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))) + ") % 2 = 1"
 
 
-def _rings(spark, draws=50):
+def _rings(spark, draws=DRAWS):
     k = F.col("k")
-    e, f = 0.05 * S.normal(k * 2 + 5000), 0.05 * S.normal(k * 2 + 5001)
-    rows = spark.range(draws).select(F.col("id").alias("k")).select("k", (F.lit(_BOX[0]) + e).alias("x0"), (F.lit(_BOX[1]) + f).alias("y0"), (F.lit(_BOX[2]) + e).alias("x1"), (F.lit(_BOX[3]) + f).alias("y1"))
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return rows.withColumn("ring", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0")))
+    at = [F.struct((F.lit(a) + 0.05 * S.normal(k * 8 + 5000 + 2 * i)).alias("x"), (F.lit(b) + 0.05 * S.normal(k * 8 + 5001 + 2 * i)).alias("y")) for i, (a, b) in enumerate(_VERTICES)]
+    return spark.range(draws).select(F.col("id").alias("k")).select("k", F.array(*at, at[0]).alias("ring"), F.greatest(F.lit(0.0), 1 + 0.3 * S.normal(k + 77)).alias("factor"))
 
 
 _HAIL = "CASE build_type WHEN 'wood_frame' THEN 0.18::DOUBLE WHEN 'masonry' THEN 0.1::DOUBLE WHEN 'manufactured' THEN 0.32::DOUBLE WHEN 'commercial' THEN 0.12::DOUBLE ELSE 0 END"
 
 
-@query(oracle(*COHORTED, RINGS_SQL, f"SELECT cohort_id, k, round(sum((tiv * least(1::DOUBLE, greatest(0::DOUBLE, {_HAIL} * 1.8::DOUBLE)) * 1::DOUBLE)::DECIMAL(18,4))::DOUBLE, 2) AS loss FROM binned, rings WHERE lon > x0 AND lon < x1 AND lat > y0 AND lat < y1 GROUP BY cohort_id, k"))
+@query(oracle(*COHORTED, RINGS_SQL, f"SELECT cohort_id, k, round(sum((tiv * least(1::DOUBLE, greatest(0::DOUBLE, {_HAIL} * 1.8::DOUBLE)))::DECIMAL(18,4))::DOUBLE * any_value(factor), 2) AS loss FROM (SELECT * FROM binned WHERE lon > {_BOX[0] - 1} AND lon < {_BOX[2] + 1} AND lat > {_BOX[1] - 1} AND lat < {_BOX[3] + 1}), rings WHERE {_INSIDE} GROUP BY cohort_id, k"))
 def r7_footprint_losses(spark, d):
     return L.footprint_losses(C.binned(policies(spark, d)), _rings(spark), "hail", 1.8)
 
