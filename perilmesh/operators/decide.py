@@ -138,3 +138,34 @@ def solve(cohorts: DataFrame, *, capital: float, nonrenew_share: float, cession:
         return Solution("Infeasible" if proven else "Undecided", None, tuple(prices), zero)
     status = "Optimal" if bound - best[0] <= tolerance * max(1.0, abs(bound)) else "Feasible"
     return Solution(status, best[0], best[1], best_actions(coef, *best[1]).select("cohort_id", "action"))
+
+
+def solve_relaxed(cohorts: DataFrame, *, capital: float, factor: float = 1.5, **budgets) -> tuple[Solution, float | None]:
+    """The solution, and if no choice within the budgets was found that of ``factor`` times the capital: once, marked Infeasible_relaxed.
+
+    The retry also follows Undecided, which proves nothing.  Returns the solution and the factor that was used (None if none was needed).
+    """
+    found = solve(cohorts, capital=capital, **budgets)
+    if found.objective is not None:
+        return found, None
+    again = solve(cohorts, capital=capital * factor, **budgets)
+    if again.objective is None:
+        return again, factor
+    return Solution("Infeasible_relaxed", again.objective, again.prices, again.actions), factor
+
+
+def replications(cohorts: DataFrame, *, draws: int, times: int, capital: float, **budgets) -> DataFrame:
+    """(replication, status, x): the objective x of each of ``times`` samples of ``draws`` losses per cohort, each with draws of its own.
+
+    ``calibrate.envelope`` summarises them.  The tails of a replication take the place of the cohorts' own.
+    """
+    from .loss import prior_losses, tails
+
+    if times < 2:
+        raise ValueError("a spread needs at least two replications")
+    rows = []
+    for r in range(times):
+        own = tails(prior_losses(cohorts, draws, stream=10 + r)).select("cohort_id", F.col("p50").alias("loss_p50"), F.col("tvar").alias("loss_p99"))
+        found = solve(cohorts.drop("loss_p50", "loss_p99").join(own, "cohort_id"), capital=capital, **budgets)
+        rows.append((r, found.status, found.objective))
+    return cohorts.sparkSession.createDataFrame(rows, "replication int, status string, x double")

@@ -166,6 +166,18 @@ def o8_sensitivity(spark, d):
     return spark.createDataFrame(rows, "capital double, nonrenew double, status string, objective double")
 
 
+@query(None)
+def o7_relaxed_retry(spark, d):
+    """Shares of the summed p99 as capital: too little for any choice is relaxed once by half."""
+    c = _cohorts(spark, d).withColumn("loss_p99", F.col("loss_p50") * 7.2).persist()
+    p99 = c.agg(F.sum("loss_p99")).first()[0]
+    rows = []
+    for share, nonrenew in ((0.4, 0.2), (-0.1, 0.2), (0.08, 0.0), (0.13, 0.0)):
+        s, factor = D.solve_relaxed(c, capital=share * p99, nonrenew_share=nonrenew, cession=0.02 * p99)
+        rows.append((share, nonrenew, s.status, factor, s.objective))
+    return spark.createDataFrame(rows, "capital double, nonrenew double, status string, factor double, objective double")
+
+
 @query(oracle(*BOOK, "SELECT state, count(*) AS n, round(sum(w * tiv) / sum(tiv), 9) AS weighted_wind FROM (SELECT state, tiv, round((100 + id % 60) * exp(-exp(ln(30) + 1.2::DOUBLE * " + normal_sql("id") + ") / 80.5::DOUBLE), 6) AS w FROM policies) GROUP BY state"))
 def r8_training_winds(spark, d):
     km = F.exp(F.log(F.lit(30)) + 1.2 * S.normal("id"))

@@ -32,6 +32,23 @@ def test_a_cut_search_is_no_proof(spark):
     assert D.solve(cohorts, rounds=1, **how).status == "Undecided"  # non-renewing all meets the budgets
 
 
+def test_relaxed_retry_and_replications(spark):
+    from perilmesh.operators import decide as D
+
+    cohorts = spark.createDataFrame([("a", "337", "masonry", 1, 1e6, 2e4, 5e3), ("b", "338", "masonry", 2, 2e6, 3e4, 4e3)], "cohort_id string, zip3 string, build_type string, tiv_quintile int, total_tiv double, total_premium double, loss_p50 double")
+    priced = cohorts.withColumn("loss_p99", F.col("loss_p50") * 7.2)
+    tight = dict(nonrenew_share=0.0, cession=0.0)
+    kept = sum(r.capital for r in D.coefficients(priced).collect() if r.action == "retain")
+    found, factor = D.solve_relaxed(priced, capital=kept, **tight)
+    assert found.objective is not None and factor is None
+    found, factor = D.solve_relaxed(priced, capital=kept / 1.4, **tight)
+    assert (found.status, factor) == ("Infeasible_relaxed", 1.5) and found.objective is not None
+    found, factor = D.solve_relaxed(priced, capital=-1.0, **tight)
+    assert (found.objective, factor) == (None, 1.5)
+    sampled = D.replications(cohorts, draws=50, times=3, capital=1e6, nonrenew_share=1.0, cession=1e6).collect()
+    assert [r.replication for r in sampled] == [0, 1, 2] and len({r.x for r in sampled}) == 3
+
+
 def test_caps_defer_smallest_first(spark):
     from perilmesh.operators.decide import territory_caps
 
