@@ -50,4 +50,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
-ORACLES = {"op4_decontaminate": CONTAMINATION, "op9_line_dedup": LINE_DEDUP}
+PREFIX_TRIE = """
+WITH bytes AS (SELECT unnest(range(256)) AS b),
+rounds AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM bytes),
+lookup AS (SELECT list(v ORDER BY b) AS t FROM rounds),
+convs AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a // 256, t[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), lookup
+), own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT convs.c, i, role, text FROM convs JOIN own ON own.c = convs.c - convs.c % 5 AND i <= h
+  UNION ALL SELECT convs.c, i, role, text FROM convs JOIN own USING (c) WHERE i > h
+), listed AS (
+  SELECT convs.c, coalesce(list(struct_pack(role := role, text := text) ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS s FROM convs LEFT JOIN rebuilt USING (c) GROUP BY convs.c
+), prefixes AS (
+  SELECT c, d, len(s) = d AS ended, sha256(s[1:d]::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(s[1:d - 1]::VARCHAR) END AS parent, CASE WHEN d > 0 THEN strlen(s[d].text) ELSE 0 END AS bytes
+  FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM listed)
+), nodes AS (
+  SELECT node, d AS depth, any_value(parent) AS parent, any_value(bytes) AS bytes, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ended), '') AS ends FROM prefixes GROUP BY node, d
+), counted AS (
+  SELECT n.*, (SELECT count(*) FROM nodes x WHERE x.parent = n.node AND x.depth = n.depth + 1) AS n_children FROM nodes n
+), above AS (
+  SELECT DISTINCT x.node, x.d, y.node AS upper, y.d AS upper_d FROM prefixes x JOIN prefixes y ON x.c = y.c AND y.d <= x.d
+), sums AS (
+  SELECT upper AS node, upper_d AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM above JOIN counted ON counted.node = above.node AND depth = d GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN nodes p ON p.node = n.parent AND p.depth = n.depth - 1
+"""
+
+ORACLES = {"op4_decontaminate": CONTAMINATION, "op9_line_dedup": LINE_DEDUP, "op12_prefix_trie": PREFIX_TRIE}

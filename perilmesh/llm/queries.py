@@ -88,6 +88,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit_quality, score_quality
+
+    docs, unseen = documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=unseen))
+    return scored.select("doc_id", unseen.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node", "parent")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,7 +138,7 @@ def _with_workers(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _with_workers(f) for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, pipeline)}
+    return {f.__name__: _with_workers(f) for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_quality_rules, op12_prefix_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
