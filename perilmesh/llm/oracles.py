@@ -82,4 +82,19 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
 FROM counted n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN nodes p ON p.node = n.parent AND p.depth = n.depth - 1
 """
 
-ORACLES = {"op4_decontaminate": CONTAMINATION, "op9_line_dedup": LINE_DEDUP, "op12_prefix_trie": PREFIX_TRIE}
+RANKED_SEARCH = f"""
+WITH texts AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+counted AS (SELECT doc_id, len(w) AS n, w FROM texts WHERE len(w) > 0),
+all_docs AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM counted),
+wanted AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY item_id, t),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM counted) WHERE t IN (SELECT t FROM wanted) GROUP BY doc_id, n, t),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, all_docs GROUP BY t),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM tf JOIN weights USING (t) JOIN wanted USING (t), all_docs GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLES = {"op4_decontaminate": CONTAMINATION, "op9_line_dedup": LINE_DEDUP, "op12_prefix_trie": PREFIX_TRIE, "op13_ranked_search": RANKED_SEARCH}

@@ -102,6 +102,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node", "parent")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -138,7 +144,7 @@ def _with_workers(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _with_workers(f) for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_quality_rules, op12_prefix_trie, pipeline)}
+    return {f.__name__: _with_workers(f) for f in (op1_warc_round_trip, op2_token_counts, op3_language_id, op4_decontaminate, op5_mix_sources, op6_version_sketch, op7_simhash, op8_license_scan, op9_line_dedup, op10_toxicity, op11_quality_rules, op12_prefix_trie, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
