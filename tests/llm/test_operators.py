@@ -617,3 +617,136 @@ def test_clashing_columns_come_back(spark):
     for out in (dedup_lines(docs), mix(docs), score_toxicity(docs, train([], []))):
         rows = out.collect()
         assert len(rows) == 2 and all(r["a.b"] == 5 and r["_lost"] == 0 and r["_source"] == 1 for r in rows)
+
+
+# ------------------------------------------------------------- 11 quality rules
+
+
+def test_quality_rules_learn_and_compile(spark, odd, none, sf):
+    from pyspark.sql import functions as F
+
+    from perilmesh.llm.quality_rules import STATISTICS, fit_quality, score_quality, with_statistics
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit_quality(docs, labels, held_out=unseen)
+    assert model.rules and fit_quality(docs, labels, held_out=unseen) == model
+    rows = score_quality(docs, model).join(labels.where("quality IS NOT NULL"), "doc_id").where(unseen).select("quality", "quality_predicted").collect()
+    bad = [r for r in rows if not r.quality]
+    assert sum(r.quality_predicted for r in rows if r.quality) == len(rows) - len(bad) and sum(not r.quality_predicted for r in bad) >= 0.9 * len(bad)
+    # the compiled expression beside a plain evaluation of the rules
+    found = with_statistics(odd).join(score_quality(odd, model).select("size", "quality_score"), "size").collect()
+    for r in found:
+        total = model.bias + sum(w for rule, w in zip(model.rules, model.weights) if all((low is None or r[n] > low) and (high is None or r[n] <= high) for n, low, high in rule.bounds))
+        assert r.quality_score == pytest.approx(1 / (1 + np.exp(-total)))
+    empty = [r for r in found if not r.text]
+    assert empty and all(r[n] == 0 for r in empty for n in STATISTICS)
+    assert score_quality(none, model).count() == 0
+
+
+def test_quality_rules_odd_tables(spark, odd, none):
+    from perilmesh.llm.quality_rules import fit_quality, score_quality
+
+    schema = "doc_id long, quality int, toxic int"
+    assert {r.quality_score for r in score_quality(odd, fit_quality(odd, spark.createDataFrame([], schema))).collect()} == {0.5}
+    one = fit_quality(odd, spark.createDataFrame([(3, 1, 0), (3, 1, 0), (4, None, 1), (None, 0, 0)], schema))
+    assert not one.rules and one.bias > 0
+    both = fit_quality(odd, spark.createDataFrame([(3, 1, 0), (6, 0, 0), (7, 0, None)], schema))
+    clash = odd.withColumnsRenamed({"n_chars": "quality_score", "lang": "_words", "source": "_log_words"})
+    got = score_quality(clash, both)
+    assert got.columns == ["doc_id", "text", "_words", "_log_words", "size", "quality_score", "quality_predicted"] and got.count() == len(ODD)
+
+
+# ------------------------------------------------------------- 12 prefix trie
+
+
+def _plain_trie(rows):
+    from hashlib import sha256
+    from zlib import crc32
+
+    convs = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            convs[c].append(((t is not None, t or 0), role, sha256(f"{len(role.encode())}:{role}{text}".encode()).digest(), text))
+    nodes, ends = defaultdict(list), defaultdict(list)
+    for c in convs:
+        h = crc32(str(c).encode()) % 9
+        own = [(x[1], x[3]) for x in sorted(convs[c])]
+        base = [(x[1], x[3]) for x in sorted(convs.get(c - (c % 5 if c >= 0 else -(-c % 5)), []))]
+        s = tuple(base[:h] + own[h:])
+        for d in range(len(s) + 1):
+            nodes[s[:d]].append(c)
+        ends[s].append(c)
+    out = Counter()
+    for p, members in nodes.items():
+        below = [q for q in nodes if q[: len(p)] == p]
+        childless = [q for q in below if not any(len(x) == len(q) + 1 and x[: len(q)] == q for x in below)]
+        saved = sum((len(nodes[q]) - 1) * len(q[-1][1].encode()) for q in below if q)
+        hashed = sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest()
+        out[(min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), sum(len(q) == len(p) + 1 for q in below), len(childless), saved, hashed)] += 1
+    return out
+
+
+@pytest.mark.parametrize("held", [3, 20_000])
+def test_prefix_trie_beside_plain(spark, monkeypatch, held):
+    from perilmesh.llm import prefix_trie as p
+
+    monkeypatch.setattr(p, "MOST_HELD", held)
+    monkeypatch.setattr(p, "RANGE", 4)
+    rng = random.Random(4)
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice(["user", "assistant", None]), rng.choice(["a", "bé", "", None, "ccc"])) for c in [*range(-7, 24), None] for _ in range(rng.randrange(1, 7))]
+    rows += [(c, t, "user", f"same {t}") for c in range(30, 60) if c % 5 for t in range(12)] + [(100, t, "user", str(t)) for t in range(40)] * 2
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("conv_id", "CONV_ID")
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    got = Counter(tuple(r) for r in p.prefix_trie(table.repartition(3)).select(*columns).collect())
+    assert got == _plain_trie(rows)
+    assert p.prefix_trie(table.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------- 13 ranked search
+
+
+def _plain_search(docs, items, k):
+    import math
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    texts = [(i, Counter(w), len(w)) for i, w in ((i, words(t)) for i, t in docs) if w]
+    n_docs, n_terms = len(texts), sum(n for *_, n in texts)
+    df = Counter(t for _, c, _ in texts for t in c)
+    wanted = defaultdict(Counter)
+    for i, t in items:
+        wanted[i].update(words(t))
+    out = []
+    for i, terms in wanted.items():
+        scores = []
+        for d, c, n in texts:
+            m = 75 + 25 * n * n_docs // n_terms
+            scores.append((sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, q in terms.items() if c[t]), d))
+        best = sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+        out += [(i, r + 1, d, s) for r, (s, d) in enumerate(best)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("how", [{"first": 2, "growth": 2, "k": 3}, {"first": 1, "growth": 4, "k": 5, "block_pairs": 6}, {}])
+def test_ranked_search_beside_plain(spark, how):
+    from perilmesh.llm.ranked_search import ranked_search
+
+    rng = random.Random(13)
+    pool = ["the", "of", "Été", "rare", "x1", "ΣΑΣ", "b", "c", "d", "e"]
+    docs = [(i, " ".join(rng.choices(pool, weights=[9, 7, 2, 1, 1, 1, 3, 3, 2, 2], k=rng.choice([1, 2, 5, 40])))) for i in range(120)]
+    docs += [(500 + i, "same text of d") for i in range(30)] + [(7, "the rare"), (7, "the rare"), (None, "RARE!x1"), (900, None), (901, ""), (902, "?!"), (903, "the " * 50_000 + "e")]
+    items = [(1, "the rare of"), (2, "d d same"), (2, "e"), (3, None), (4, "absent"), (None, "Été x1"), (5, "ΣΑΣ c b the"), (6, "b" * 3)]
+    table = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, h int, terms int")
+    got = Counter(tuple(r) for r in ranked_search(table.repartition(3), spark.createDataFrame(items, "item_id long, text string"), **how).collect())
+    assert got == _plain_search(docs, items, how.get("k", 20))
+
+
+def test_ranked_search_empty_tables(spark, none):
+    from perilmesh.llm.ranked_search import ranked_search
+
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert ranked_search(none, items).count() == 0 and ranked_search(docs, items.limit(0)).count() == 0
+    assert [tuple(r)[:3] for r in ranked_search(docs, items).collect()] == [(1, 1, 1)]
