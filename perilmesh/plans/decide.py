@@ -189,10 +189,13 @@ def o5_coefficients(spark, d):
 
 @query(None)
 def o1_portfolio(spark, d):
-    """The optimizer under budgets: no SQL, as its prices are found by iteration."""
+    """The portfolio under three budgets: no SQL, as it is found by search; objective and the dual bound stand beside each action."""
+    from ..operators import portfolio as P
+
     c = _priced(spark, d)
     p99 = c.agg(F.sum("loss_p99")).first()[0]
-    return D.solve(c, capital=0.4 * p99, nonrenew_share=0.2, cession=0.05 * p99).actions
+    found, actions = P.search_one(c, capital=0.4 * p99, nonrenew_share=0.2, cession=0.05 * p99)
+    return actions.select("cohort_id", "action", F.lit(found.status).alias("status"), F.lit(found.objective).alias("objective"), F.lit(found.bound).alias("bound"))
 
 
 # -------------------------------------------------------------- ledger

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import decide as D
 from ..operators import evaluate as V
 from ..operators import loss as L
 from ..operators import perils as P
+from ..operators import portfolio as Q
 from .decide import _CEDED, _LOSS, _PREM, ACTED, DOMINANT_SQL, _actions, _cohorts
 from .domain import BOOK, anchors, oracle, policies, table
 from .loss import DRAWS, PRIOR_SQL, lcg_sql, normal_sql
@@ -153,31 +153,45 @@ def o6_assignments(spark, d):
     return V.assign(*_staff(spark, d))
 
 
+def _searched(spark, d, problems):
+    """Statuses of ``problems`` (name to shares of the summed p99, of insured value, of the summed p99), searched at once."""
+    c = _cohorts(spark, d).withColumn("loss_p99", F.col("loss_p50") * 7.2)
+    p99, tiv = c.agg(F.sum("loss_p99"), F.sum("total_tiv")).first()
+    return Q.search(c, {n: (a * p99, z * p99, b * tiv) for n, (a, b, z) in problems.items()})[0]
+
+
 @query(None)
 def o8_sensitivity(spark, d):
-    """Three by three budgets: capital and non-renewal at 0.7, 1 and 1.5 times theirs."""
-    c = _cohorts(spark, d).withColumn("loss_p99", F.col("loss_p50") * 7.2).persist()
-    p99 = c.agg(F.sum("loss_p99")).first()[0]
-    rows = []
-    for a in (0.7, 1.0, 1.5):
-        for b in (0.7, 1.0, 1.5):
-            s = D.solve(c, capital=0.4 * p99 * a, nonrenew_share=0.2 * b, cession=0.05 * p99)
-            rows.append((a, b, s.status, s.objective))
-    return spark.createDataFrame(rows, "capital double, nonrenew double, status string, objective double")
+    """Three by three budgets, capital and non-renewal at 0.7, 1 and 1.5 times theirs: nine problems in one search."""
+    cells = {f"{a}|{b}": (0.4 * a, 0.2 * b, 0.05) for a in (0.7, 1.0, 1.5) for b in (0.7, 1.0, 1.5)}
+    rows = [(*map(float, n.split("|")), f.status, f.objective, f.bound) for n, f in _searched(spark, d, cells).items()]
+    return spark.createDataFrame(rows, "capital double, nonrenew double, status string, objective double, bound double")
 
 
 @query(None)
 def o7_relaxed_retry(spark, d):
-    """Shares of the summed p99 as capital: too little for any choice is relaxed once by half."""
-    c = _cohorts(spark, d).withColumn("loss_p99", F.col("loss_p50") * 7.2).persist()
-    p99 = c.agg(F.sum("loss_p99")).first()[0]
+    """Shares of the summed p99 as capital: problems proven infeasible are tried once more with half as much again."""
+    asked = {f"{a}|{b}": (a, b, 0.02) for a, b in ((0.4, 0.2), (-0.1, 0.2), (0.08, 0.0), (0.7, 0.0))}
+    found = _searched(spark, d, asked)
+    again = {n: (1.5 * a, b, z) for n, (a, b, z) in asked.items() if found[n].status == "Infeasible"}
+    relaxed = _searched(spark, d, again) if again else {}
     rows = []
-    for share, nonrenew in ((0.4, 0.2), (-0.1, 0.2), (0.08, 0.0), (0.13, 0.0)):
-        s, factor = D.solve_relaxed(c, capital=share * p99, nonrenew_share=nonrenew, cession=0.02 * p99)
-        rows.append((share, nonrenew, s.status, factor, s.objective))
+    for n, f in found.items():
+        r = relaxed.get(n)
+        status = "Infeasible_relaxed" if r and r.objective is not None else f.status
+        rows.append((*map(float, n.split("|")), status, 1.5 if r else None, r.objective if r else f.objective))
     return spark.createDataFrame(rows, "capital double, nonrenew double, status string, factor double, objective double")
 
 
+@query(None)
+def r10_replications(spark, d):
+    """Objectives of replications with sampled losses, and their envelope beside them."""
+    from ..operators.calibrate import envelope
+
+    rows = Q.replications(_cohorts(spark, d), draws=200, times=3, capital_share=0.6, nonrenew_share=0.5, cession_share=0.05)
+    return rows.crossJoin(F.broadcast(envelope(rows.where("x IS NOT NULL"))))
+
+
 @query(oracle(*BOOK, "SELECT state, count(*) AS n, round(sum(w * tiv) / sum(tiv), 9) AS weighted_wind FROM (SELECT state, tiv, round((100 + id % 60) * exp(-exp(ln(30) + 1.2::DOUBLE * " + normal_sql("id") + ") / 80.5::DOUBLE), 6) AS w FROM policies) GROUP BY state"))
 def r8_training_winds(spark, d):
     km = F.exp(F.log(F.lit(30)) + 1.2 * S.normal("id"))

@@ -137,3 +137,42 @@ def test_streams(spark, tmp_path):
     for n in ("c2", "c3"):  # a replay from scratch adds nothing
         refresh.append_ledger(stream(), f"file://{tmp_path}/out", f"{tmp_path}/{n}", "storm_id", "ts").awaitTermination()
     assert {r.storm_id: r.advisory for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {"s1": "1", "s2": "9"} and spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_search_is_near_the_best_mix(spark):
+    from perilmesh.operators import decide as D
+    from perilmesh.operators import portfolio as P
+
+    rng = random.Random(11)
+    rows = [(f"c{i}", 1e6 * rng.uniform(0.5, 2), 1e4 * rng.uniform(1, 3), 1e3 * rng.uniform(1, 9)) for i in range(6)]
+    cohorts = spark.createDataFrame(rows, "cohort_id string, total_tiv double, total_premium double, loss_p50 double").withColumn("loss_p99", F.col("loss_p50") * 7.2)
+    by = {}
+    for r in D.coefficients(cohorts).collect():
+        by.setdefault(r.cohort_id, {})[r.action] = (r.profit, r.capital, r.cession, r.nonrenew)
+    tiv, p99 = sum(r[1] for r in rows), sum(r[3] for r in rows) * 7.2
+    problems = {"wide": (0.9 * p99, 0.05 * p99, 0.5 * tiv), "tight": (0.55 * p99, 0.02 * p99, 0.3 * tiv), "least": (0.3 * p99, 0.06 * p99, 0.2 * tiv), "none": (0.1 * p99, 0.0, 0.1 * tiv), "below": (-1.0, 0.0, 0.0)}
+    found, actions = P.search(cohorts, problems)
+    chosen = {}
+    for r in actions.collect():
+        chosen.setdefault(r.problem, {})[r.cohort_id] = r.action
+    # plain search over distinct options
+    options = [list({v for v in own.values()}) for own in by.values()]
+    for name, b in problems.items():
+        best = max((sum(c[0] for c in mix) for mix in itertools.product(*options) if all(sum(c[i + 1] for c in mix) <= x for i, x in enumerate(b))), default=None)
+        f = found[name]
+        if best is None:
+            assert f.objective is None and name not in chosen
+            assert f.status == "Infeasible" if name in ("none", "below") else f.status in ("Infeasible", "Undecided")
+            continue
+        mix = [by[c][a] for c, a in chosen[name].items()]
+        assert len(mix) == 6 and all(sum(c[i + 1] for c in mix) <= x * (1 + 1e-6) for i, x in enumerate(b))
+        assert f.objective == pytest.approx(sum(c[0] for c in mix), abs=0.01) and f.objective <= best + 0.01 <= f.bound + 0.02
+        assert f.objective >= best - 0.01 * abs(best), name
+
+
+def test_search_of_an_empty_book(spark):
+    from perilmesh.operators import portfolio as P
+
+    cohorts = spark.createDataFrame([], "cohort_id string, total_tiv double, total_premium double, loss_p50 double, loss_p99 double")
+    found, actions = P.search_one(cohorts, capital=1.0, nonrenew_share=0.5, cession=1.0)
+    assert actions.count() == 0 and found.bound >= 0
