@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from .decide import apply_pins, non_renewed, notice_deferrals, territory_caps
+from .staging import staged
 
 
 def footprint_fault(ring: Column, peril: Column, width_m: Column, epicenter: Column, level: Column, number: Column) -> Column:
@@ -85,22 +89,51 @@ def in_capsule(lat: Column, lon: Column, path: list[tuple[float, float]], width_
     return (F.least(*near) if len(near) > 1 else near[0]) <= width_km / 2
 
 
-def reconciled(proposed: DataFrame, pins: DataFrame, capacity: DataFrame, notice: DataFrame) -> DataFrame:
-    """All passes on ``proposed`` (cohort_id, state, action, score, preflagged) in order, one row per cohort with its final action.
+@dataclass
+class Reconciled:
+    """What the passes leave: actions in force, stamps of what was changed and why, preflags, zone demand, conflicts and notifications."""
+
+    actions: DataFrame  # (cohort_id, action, share)
+    stamps: DataFrame  # (cohort_id, kind, original_action, value, detail)
+    preflags: DataFrame
+    demand: DataFrame  # (zone_id, demand)
+    conflicts: DataFrame  # (cohort_id, zone_id, staff)
+    notifications: DataFrame  # (cohort_id, action, policy_count, total_tiv, stamps)
+
+
+def reconcile(actions: DataFrame, cohorts: DataFrame, *, pins: DataFrame, policy_cohorts: DataFrame, preflags: DataFrame, zones: DataFrame, staff: DataFrame, renewals: DataFrame, bucket_totals: DataFrame, today: Column) -> Reconciled:
+    """The passes in order, each on what the ones before left.
+
+    1. pins (policy_id, pinned_action, seq) replace the action of their cohort; 2. preflag entries (with cohort_id) of cohorts non-renewed
+    by more than half go; 3. a staffed zone's demand is the mean retained share of the cohorts in its zip3; 4. non-renewed cohorts in zones
+    with many adjuster-days are conflicts; 5. non-renewals (renewals: cohort_id, renewal) too near for the notice period move to the next renewal;
+    6. of the others, per territory, the smallest are held back until the rest is within the cap; 7. each non-renewed cohort gets one
+    notification: capped before deferred before plain, with all its stamps.
 
-    1. ``pins`` (cohort_id, pinned) replace the action; 2. a preflagged cohort that isn't pinned is retained; 3. of the non-renewals of a state
-    at most its ``capacity`` (state, slots; none named: no bound) stay, highest score first, pinned ones before all, the others are
-    retained; 4. non-renewals in a state of ``notice`` (state, days > 0) are deferred.  Returns cohort_id, state, final, notification:
-    cap before notice before plain (a changed or pinned action), else null.
+    cohorts: (cohort_id, zip3, state, total_tiv, policy_count); zones: (zone_id, zip3); staff: (zone_id, staff).  Unknown pins are left out, preflags of
+    unknown cohorts stay, and a cohort without a renewal date renews in a year.
     """
-    rows = proposed.join(pins, "cohort_id", "left")
-    first = F.coalesce("pinned", F.when(F.col("preflagged"), "retain").otherwise(F.col("action")))
-    rows = rows.withColumn("wanted", first)
-    leaving = rows.where("wanted = 'non_renew'")
-    place = F.row_number().over(Window.partitionBy("state").orderBy(F.col("pinned").isNull(), F.desc("score"), "cohort_id"))
-    capped = leaving.select("cohort_id", "state", place.alias("place")).join(capacity, "state").where("place > slots").select("cohort_id", F.lit(True).alias("capped"))
-    out = rows.join(capped, "cohort_id", "left").join(notice, "state", "left")
-    stays = (F.col("wanted") == "non_renew") & F.col("capped").isNull()
-    final = F.when(F.col("capped"), "retain").when(stays & (F.coalesce("days", F.lit(0)) > 0), "defer").otherwise(F.col("wanted"))
-    told = F.when(F.col("capped"), "cap").when(stays & (F.coalesce("days", F.lit(0)) > 0), "notice").when((F.col("wanted") != F.col("action")) | F.col("pinned").isNotNull(), "plain")
-    return out.select("cohort_id", "state", final.alias("final"), told.alias("notification"))
+    pin_stamps, pinned = apply_pins(actions, pins, policy_cohorts)
+    pin_stamps, pinned = staged(pin_stamps, "pin-stamps"), staged(pinned, "pinned")  # each pass reads what the one before left
+    leaving = staged(non_renewed(pinned).join(cohorts, "cohort_id"), "leaving")
+    kept = preflags.join(leaving, "cohort_id", "left_anti")
+    ceded = F.coalesce(F.sum(F.when(F.col("action").isin("cede_qs", "cede_xs"), F.col("share"))), F.lit(0.0))
+    retained = pinned.groupBy("cohort_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ceded)).alias("retained")).join(cohorts.select("cohort_id", "zip3"), "cohort_id")
+    by_zip3 = retained.groupBy("zip3").agg(F.avg("retained").alias("demand"))
+    demand = zones.join(staff, "zone_id", "left_semi").join(by_zip3, "zip3").select("zone_id", "demand")
+    conflicts = leaving.join(zones, "zip3").join(staff.where(F.col("staff") >= X.STAFFED), "zone_id").select("cohort_id", "zone_id", "staff")
+    dated = leaving.select("cohort_id", "state").join(renewals.select("cohort_id", "renewal"), "cohort_id", "left")
+    notices = staged(notice_deferrals(dated, today), "notices")
+    capped = staged(territory_caps(leaving.join(notices, "cohort_id", "left_anti"), bucket_totals), "capped")
+    stamp = lambda df, kind, original, value, detail: df.select("cohort_id", F.lit(kind).alias("kind"), original.alias("original_action"), F.col(value).cast("double").alias("value"), detail.cast("string").alias("detail"))
+    gone = F.lit("non_renew")
+    stamps = (
+        stamp(pin_stamps, "pin", F.col("original_action"), "policy_id", F.col("pinned_action"))
+        .unionByName(stamp(notices, "non_renew_next_renewal", gone, "days", F.col("deferred_to")))
+        .unionByName(stamp(capped, "non_renew_capped", gone, "observed", F.col("bucket")))
+    )
+    # a cohort's stamps are its pins, one notice and one cap at most; only their kinds are gathered
+    kinds = stamps.groupBy("cohort_id").agg(F.count("*").alias("stamps"), F.max(F.col("kind") == "non_renew_capped").alias("cap"), F.max(F.col("kind") == "non_renew_next_renewal").alias("notice"))
+    final = F.when(F.col("cap"), "non_renew_capped").when(F.col("notice"), "non_renew_next_renewal").otherwise(gone)
+    told = leaving.join(kinds, "cohort_id", "left").select("cohort_id", final.alias("action"), "policy_count", "total_tiv", F.coalesce("stamps", F.lit(0)).alias("stamps"))
+    return Reconciled(pinned, stamps, kept, demand, conflicts, told)

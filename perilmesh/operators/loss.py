@@ -15,9 +15,14 @@ def cohort_number(zip3="zip3", build="build_type", q="tiv_quintile") -> Column:
     return (_c(zip3).cast("long") * 10 + b) * 10 + _c(q)
 
 
+def _dealt(cohorts: DataFrame) -> DataFrame:
+    """Cohorts dealt to all cores before they are multiplied by draws: few rows would else stay in one task.  Sums per cohort need no further shuffle."""
+    return cohorts.repartition(cohorts.sparkSession.sparkContext.defaultParallelism, "cohort_id")
+
+
 def prior_losses(cohorts: DataFrame, draws: int, *, sigma: float = X.PRIOR_SIGMA, stream: int = 0) -> DataFrame:
     """Lognormal losses: one row per cohort and draw k, around the cohort's median loss."""
-    rows = cohorts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    rows = _dealt(cohorts).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     z = normal((cohort_number() * 10 + stream) * 1000 + F.col("k"))
     return rows.select("cohort_id", "k", F.round(F.col("loss_p50") * F.exp(sigma * z), 2).alias("loss"))
 
@@ -25,7 +30,7 @@ def prior_losses(cohorts: DataFrame, draws: int, *, sigma: float = X.PRIOR_SIGMA
 def peril_overlay(cohorts: DataFrame, draws: int) -> DataFrame:
     """Losses of further perils, independent by peril, with mean rate * value * vulnerability."""
     perils = cohorts.sparkSession.createDataFrame([(i, p) for i, p in enumerate(X.AAL_RATE)], "stream int, peril string")
-    rows = cohorts.join(F.broadcast(perils)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    rows = _dealt(cohorts).join(F.broadcast(perils)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     rate = vulnerability = sigma = F.lit(None).cast("double")
     for p in X.AAL_RATE:
         rate = F.when(F.col("peril") == p, case_of("state", {k: v for k, v in X.AAL_RATE[p].items() if k != "default"}, X.AAL_RATE[p]["default"])).otherwise(rate)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import checks as K
 from ..operators import treaty as T
+from ..operators.staging import staged
 from ..sources import feeds as S
-from .domain import BOOK, COHORTS, oracle, policies, table
+from . import decide as E
+from .domain import BOOK, oracle, policies, table
 
 QUERIES: dict = {}
 
@@ -141,23 +146,45 @@ def f31_mock_vector(spark, d):
     return policies(spark, d).select("id", *(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a + w * (x - F.floor(x)))), 5).alias(f"f{i}") for i, ((a, w), x) in enumerate(zip(_MOCK, s))))
 
 
-_N = "((zip3::BIGINT * 10 + CASE build_type WHEN 'wood_frame' THEN 0 WHEN 'masonry' THEN 1 ELSE 2 END) * 10 + tiv_quintile)"
-
-
-@query(oracle(*COHORTS, f"""p AS (SELECT cohort_id, state, CASE WHEN {_N} % 3 = 0 THEN 'non_renew' ELSE 'reprice_p5' END AS action, {_N} % 101 AS score, {_N} % 7 = 0 AS preflagged, CASE WHEN {_N} % 10 = 0 THEN 'non_renew' WHEN {_N} % 10 = 1 THEN 'retain' END AS pinned FROM cohorts),
- w AS (SELECT *, coalesce(pinned, CASE WHEN preflagged THEN 'retain' ELSE action END) AS wanted FROM p),
- r AS (SELECT cohort_id, row_number() OVER (PARTITION BY state ORDER BY pinned IS NULL, score DESC, cohort_id) > CASE state WHEN 'FL' THEN 20 WHEN 'TX' THEN 5 END AS capped FROM w WHERE wanted = 'non_renew')""",
-    """SELECT cohort_id, state, CASE WHEN coalesce(capped, false) THEN 'retain' WHEN wanted = 'non_renew' AND state IN ('LA', 'FL') THEN 'defer' ELSE wanted END AS final,
- CASE WHEN coalesce(capped, false) THEN 'cap' WHEN wanted = 'non_renew' AND state IN ('LA', 'FL') THEN 'notice' WHEN wanted <> action OR pinned IS NOT NULL THEN 'plain' END AS notification FROM w LEFT JOIN r USING (cohort_id)"""))
+_TODAY = "2027-11-20"
+
+
+@query(oracle(*E.ACTED, E.DOMINANT_SQL, E.PINS_SQL, E.STAMPS_SQL, E._ZONES,
+    "last_pins AS (SELECT cohort_id, arg_max(pinned_action, seq) AS action FROM stamps GROUP BY 1)",
+    "pinned AS (SELECT cohort_id, action, share FROM acts WHERE cohort_id NOT IN (SELECT cohort_id FROM last_pins) UNION ALL SELECT cohort_id, action, 1::DOUBLE FROM last_pins)",
+    "nr AS (SELECT c.* FROM cohorts c JOIN pinned USING (cohort_id) WHERE action = 'non_renew' AND share > 0.5)",
+    "kept AS (SELECT cohort_id, zip3, greatest(0::DOUBLE, least(1::DOUBLE, 1 - coalesce(sum(share) FILTER (WHERE action IN ('cede_qs', 'cede_xs')), 0))) AS r FROM pinned JOIN cohorts USING (cohort_id) GROUP BY 1, 2)",
+    f"notices AS (SELECT cohort_id, days, (CASE WHEN month(renewal) = 2 AND day(renewal) = 29 THEN renewal + INTERVAL 1 YEAR + INTERVAL 1 DAY ELSE renewal + INTERVAL 1 YEAR END)::DATE::VARCHAR AS deferred_to FROM (SELECT cohort_id, renewal, datediff('day', DATE '{_TODAY}', renewal) AS days, {E._NOTICE} AS notice FROM (SELECT cohort_id, state, coalesce({E._RENEWAL}, DATE '{_TODAY}' + 365) AS renewal FROM nr)) WHERE days < notice)",
+    E.CAPS_SQL.replace("FROM nr)", "FROM nr WHERE cohort_id NOT IN (SELECT cohort_id FROM notices))"),
+    "held AS (SELECT cohort_id, bucket, round(total / denom, 9) AS observed FROM capped WHERE denom > 0 AND total - before > cap * denom)",
+    """SELECT 'pin' AS part, cohort_id AS id, pinned_action || '|' || original_action AS what, policy_id::DOUBLE AS value FROM stamps
+ UNION ALL SELECT 'preflag', cohort_id, 'policy', id::DOUBLE FROM binned WHERE flood_zone = 'VE' AND cohort_id NOT IN (SELECT cohort_id FROM nr)
+ UNION ALL SELECT 'demand', zone_id::VARCHAR, 'zone', round(avg(r), 6) FROM zones JOIN kept USING (zip3) WHERE zone_id IN (SELECT zone_id FROM assigned) GROUP BY zone_id
+ UNION ALL SELECT 'conflict', cohort_id, zone_id::VARCHAR, staff::DOUBLE FROM nr JOIN zones USING (zip3) JOIN assigned USING (zone_id) WHERE staff >= 2
+ UNION ALL SELECT 'non_renew_next_renewal', cohort_id, deferred_to, days::DOUBLE FROM notices
+ UNION ALL SELECT 'non_renew_capped', cohort_id, bucket, observed FROM held
+ UNION ALL SELECT 'notification', cohort_id, CASE WHEN cohort_id IN (SELECT cohort_id FROM held) THEN 'non_renew_capped' WHEN cohort_id IN (SELECT cohort_id FROM notices) THEN 'non_renew_next_renewal' ELSE 'non_renew' END, policy_count::DOUBLE FROM nr
+ UNION ALL SELECT 'stamps', cohort_id, 'count', (SELECT count(*) FROM stamps s WHERE s.cohort_id = nr.cohort_id) + (cohort_id IN (SELECT cohort_id FROM notices))::INT + (cohort_id IN (SELECT cohort_id FROM held))::INT FROM nr"""))
 def o9_reconciled(spark, d):
+    """All that the reconciler's passes leave, in one long table."""
+    from ..functions.scalars import money_sum, territory
     from ..operators import cohort as C
     from ..operators.loss import cohort_number
 
-    n = cohort_number()
-    cohorts = C.cohorts(C.binned(policies(spark, d)))
-    proposed = cohorts.select("cohort_id", "state", F.when(n % 3 == 0, "non_renew").otherwise("reprice_p5").alias("action"), (n % 101).alias("score"), (n % 7 == 0).alias("preflagged"))
-    pins = cohorts.select("cohort_id", F.when(n % 10 == 0, "non_renew").when(n % 10 == 1, "retain").alias("pinned")).where("pinned IS NOT NULL")
-    return K.reconciled(proposed, pins, spark.createDataFrame([("FL", 20), ("TX", 5)], "state string, slots int"), spark.createDataFrame([("LA", 30), ("FL", 45), ("NC", 0)], "state string, days int"))
+    book = C.binned(policies(spark, d))
+    cohorts, n = staged(C.cohorts(book), "cohorts"), cohort_number()
+    zones, staff = E._zones(spark, d)
+    totals = cohorts.groupBy(territory("zip3", "state").alias("bucket")).agg(money_sum("total_tiv").alias("bucket_tiv")).where("bucket <> 'NC:inland'")
+    renewals = cohorts.select("cohort_id", F.when(n % 4 != 0, F.date_add(F.lit("2027-12-01").cast("date"), (n % 200).cast("int"))).alias("renewal"))
+    out = K.reconcile(E._actions(cohorts), cohorts.select("cohort_id", "zip3", "state", "total_tiv", "policy_count"), pins=E._pins(spark, d), policy_cohorts=book, preflags=book.where("flood_zone = 'VE'").select("id", "cohort_id"), zones=zones, staff=staff, renewals=renewals, bucket_totals=totals, today=F.lit(_TODAY).cast("date"))
+    part = lambda df, name, id_, what, value: df.select(F.lit(name).alias("part") if isinstance(name, str) else name.alias("part"), F.col(id_).cast("string").alias("id"), what.alias("what"), value.cast("double").alias("value"))
+    col = F.col
+    what = F.when(col("kind") == "pin", F.concat_ws("|", "detail", "original_action")).otherwise(col("detail"))
+    parts = [
+        part(out.stamps, col("kind"), "cohort_id", what, col("value")), part(out.preflags, "preflag", "cohort_id", F.lit("policy"), col("id")), part(out.demand, "demand", "zone_id", F.lit("zone"), F.round("demand", 6)),
+        part(out.conflicts, "conflict", "cohort_id", col("zone_id").cast("string"), col("staff")), part(out.notifications, "notification", "cohort_id", col("action"), col("policy_count")), part(out.notifications, "stamps", "cohort_id", F.lit("count"), col("stamps")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(oracle(*BOOK, """m AS (SELECT id, state, tiv FROM policies WHERE id % 9 <> 0)""",

@@ -2,6 +2,7 @@
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -33,11 +34,28 @@ def test_reversal_keeps_the_first_name(spark):
 
 
 def test_reconciler_order(spark):
-    from perilmesh.operators.checks import reconciled
-
-    rows = [("p", "FL", "retain", 1, False), ("q", "FL", "non_renew", 9, False), ("r", "FL", "non_renew", 8, True), ("s", "FL", "non_renew", 7, False), ("t", "LA", "non_renew", 1, False), ("u", "OH", "reprice_p5", 1, False)]
-    proposed = spark.createDataFrame(rows, "cohort_id string, state string, action string, score int, preflagged boolean")
-    pins = spark.createDataFrame([("p", "non_renew"), ("u", "reprice_p5")], "cohort_id string, pinned string")
-    out = reconciled(proposed, pins, spark.createDataFrame([("FL", 2)], "state string, slots int"), spark.createDataFrame([("LA", 30)], "state string, days int"))
-    assert {r.cohort_id: (r.final, r.notification) for r in out.collect()} == {"p": ("non_renew", "plain"), "q": ("non_renew", None), "r": ("retain", "plain"), "s": ("retain", "cap"), "t": ("defer", "notice"), "u": ("reprice_p5", "plain")}
-    assert reconciled(proposed.where(F.lit(False)), pins, spark.createDataFrame([("FL", 2)], "state string, slots int"), spark.createDataFrame([("LA", 30)], "state string, days int")).count() == 0
+    from perilmesh.operators.checks import reconcile
+
+    make = spark.createDataFrame
+    actions = make([("p", "retain", 1.0), ("q", "non_renew", 0.9), ("q", "retain", 0.1), ("r", "non_renew", 1.0), ("s", "non_renew", 0.8), ("s", "cede_qs", 0.2), ("t", "non_renew", 1.0), ("u", "cede_qs", 0.5), ("u", "cede_xs", 0.1), ("u", "retain", 0.4), ("v", "non_renew", 0.5), ("v", "retain", 0.5)], "cohort_id string, action string, share double")
+    zips = {"p": "337", "q": "337", "r": "337", "s": "337", "t": "700", "u": "700", "v": "700"}
+    tiv = dict(p=50.0, q=40.0, r=30.0, s=5.0, t=7.0, u=8.0, v=9.0)
+    cohorts = make([(c, z, "FL" if z == "337" else "LA", tiv[c], 3) for c, z in zips.items()], "cohort_id string, zip3 string, state string, total_tiv double, policy_count int")
+    out = reconcile(
+        actions, cohorts, pins=make([(1, "non_renew", 1), (2, "retain", 2), (2, "reprice_0", 3), (99, "retain", 4)], "policy_id long, pinned_action string, seq long"),
+        policy_cohorts=make([(1, "p"), (2, "r"), (3, "q"), (4, "u"), (5, "x")], "id long, cohort_id string"), preflags=make([(3, "q"), (2, "r"), (5, "x")], "id long, cohort_id string"),
+        zones=make([(7, "337"), (8, "700"), (9, "999")], "zone_id long, zip3 string"), staff=make([(7, 3), (8, 1), (9, 5)], "zone_id long, staff long"),
+        renewals=make([("p", "2028-12-01"), ("q", "2027-12-01"), ("s", "2028-12-01")], "cohort_id string, renewal string").withColumn("renewal", F.to_date("renewal")),
+        bucket_totals=make([("FL:coastal", 1000.0), ("FL:inland", 1000.0)], "bucket string, bucket_tiv double"), today=F.lit("2027-11-20").cast("date"),
+    )
+    stamps = sorted((r.cohort_id, r.kind, r.original_action, r.detail) for r in out.stamps.collect())
+    # q is deferred by notice and so outside the caps: of p and s in its territory the smaller is held back first
+    assert [s[:3] for s in stamps if s[1] == "pin"] == [("p", "pin", "retain"), ("r", "pin", "non_renew"), ("r", "pin", "retain")]
+    assert [s[0] for s in stamps if s[1] == "non_renew_next_renewal"] == ["q"]
+    assert "s" in [s[0] for s in stamps if s[1] == "non_renew_capped"] and "q" not in [s[0] for s in stamps if s[1] == "non_renew_capped"]
+    assert sorted(r.cohort_id for r in out.preflags.collect()) == ["r", "x"]
+    demand = {r.zone_id: r.demand for r in out.demand.collect()}
+    assert demand[7] == pytest.approx((1 + 1 + 1 + 0.8) / 4) and demand[8] == pytest.approx((1 + 0.4 + 1) / 3) and 9 not in demand
+    assert sorted((r.cohort_id, r.zone_id) for r in out.conflicts.collect()) == [("p", 7), ("q", 7), ("s", 7)]
+    told = {r.cohort_id: r.action for r in out.notifications.collect()}
+    assert set(told) == {"p", "q", "s", "t"} and told["q"] == "non_renew_next_renewal" and told["s"] == "non_renew_capped"
