@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book, decide, extra, feeds, loss, more
+from . import assets, book, decide, extra, feeds, loss, more
 
-_MODULES = (book, loss, decide, feeds, more, extra)
+_MODULES = (book, loss, decide, feeds, more, extra, assets)
 
 
 def queries() -> dict:

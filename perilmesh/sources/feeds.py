@@ -145,11 +145,57 @@ def write_losses_json(losses: DataFrame, path: str, draws: int) -> None:
     listed.write.mode("overwrite").json(path)
 
 
+#: Columns of a policy book's CSV.
+BOOK_COLUMNS = ("policy_id", "state", "zip3", "lat", "lon", "tiv", "build_type", "flood_zone")
+OPTIONAL_COLUMNS = ("county", "build_year", "elevation_m", "premium_annual", "cv_features")
+
+
 def read_book_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A policy book as strings, quotes and line breaks inside quotes honoured; see operators.ingest.validate."""
-    names = ["policy_id", "state", "zip3", "lat", "lon", "tiv", "build_type", "flood_zone"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
+    """A policy book as strings, quotes and line breaks inside quotes honoured; see operators.ingest.validate.
+
+    Columns are bound by the header's names (blanks around them and a byte order mark go, case doesn't count), in any order; other columns are left out and
+    optional ones that are absent are null.  A required column that is absent, or one that is there twice, is an error.  All files of a
+    folder must have the header of the first: one with other columns fails when read.
+    """
+    how = dict(header=True, quote='"', escape='"', multiLine=True)
+    first = spark.read.csv(path, **how)
+    raw = spark.read.csv(path, schema=T.StructType([T.StructField(c, T.StringType()) for c in first.columns]), enforceSchema=False, **how)
+    place: dict[str, list[int]] = {}
+    for i, c in enumerate(raw.columns):
+        name = c.lstrip("\ufeff").strip().lower()
+        if name.endswith(str(i)) and name.removesuffix(str(i)) in (*BOOK_COLUMNS, *OPTIONAL_COLUMNS):
+            name = name.removesuffix(str(i))  # Spark puts their place behind names that are there twice
+        place.setdefault(name, []).append(i)
+    absent = [c for c in BOOK_COLUMNS if c not in place]
+    twice = [c for c in (*BOOK_COLUMNS, *OPTIONAL_COLUMNS) if len(place.get(c, ())) > 1]
+    if absent or twice:
+        raise ValueError("; ".join(filter(None, (absent and f"columns absent: {', '.join(absent)}", twice and f"columns twice: {', '.join(twice)}"))))
+    named = raw.toDF(*(f"c{i}" for i in range(len(raw.columns))))
+    return named.select(*((F.col(f"c{place[c][0]}") if c in place else F.lit(None).cast("string")).alias(c) for c in (*BOOK_COLUMNS, *OPTIONAL_COLUMNS)))
+
+
+def sim_files(spark: SparkSession, path: str) -> DataFrame:
+    """(sim_id, file, bytes) of the loss files of a folder: their names without ``.parquet``, from file metadata alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("sim_id"), F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
+def read_sims(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
+    """Wide loss artifacts of a folder with their sim_id: of all files, or of the ``ids`` named (a file a sim); other files aren't opened.
+
+    An id without a file has no rows (see ``missing_sims``); without any file the result has no loss columns.
+    """
+    listed = sim_files(spark, path)
+    chosen = listed if ids is None else listed.where(F.col("sim_id").isin(*ids))
+    files = [r["file"] for r in chosen.select("file").orderBy("file").collect()]
+    if not files:
+        return spark.createDataFrame([], "sim_id string, cohort_key string")
+    return spark.read.option("mergeSchema", True).parquet(*files).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.parquet$", 1).alias("sim_id"), "*")
+
+
+def missing_sims(known: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of ``known`` (sim_id) that have no file in the listing ``files`` (sim_id, ...)."""
+    return known.join(files.select("sim_id"), "sim_id", "left_anti")
 
 
 def write_claims_csv(claims: DataFrame, path: str) -> None:
