@@ -90,10 +90,10 @@ def rare_words(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return listed.mapInArrow(run, "passage_id long, pos long, word string, other_pos long, other string")
 
 
-def postings(docs: DataFrame, words: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, words: DataFrame, *, ranges: str | None = None) -> DataFrame:
     """The positional index: (word, doc_id, h, pos), and a row without word for each document, pos being its number of words.
 
-    h is the text's hash, which keeps rows of one doc_id apart.  If docs has ranges (arrays of low and high), only
+    h is the text's hash, which keeps rows of one doc_id apart.  ``ranges`` names a column of arrays of (low, high): then only
     positions in one of them are posted.
     """
     wanted = _selected(words)
@@ -101,8 +101,8 @@ def postings(docs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for b in batches:
             word, doc, text_hash, pos = [], [], [], []
-            ranges = b["ranges"].to_pylist() if "ranges" in b.schema.names else [None] * b.num_rows
-            for i, h, text, own_ranges in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), binary(b["text"]), ranges):
+            limits = b["ranges"].to_pylist() if ranges else [None] * b.num_rows
+            for i, h, text, own_ranges in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), binary(b["text"]), limits):
                 own = words_of(text)
                 places = range(len(own)) if own_ranges is None else sorted({p for r in own_ranges for p in range(max(0, r["low"]), min(len(own), r["high"] + 1))})
                 found = [p for p in places if wanted is None or own[p] in wanted.value]
@@ -115,7 +115,7 @@ def postings(docs: DataFrame, words: DataFrame) -> DataFrame:
                     word, doc, text_hash, pos = [], [], [], []
             yield _columns(word, doc, text_hash, pos)
 
-    own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *(["ranges"] if "ranges" in docs.columns else []))
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *([F.col(ranges).alias("ranges")] if ranges else []))
     return own.mapInArrow(run, "word string, doc_id long, h long, pos long")
 
 
@@ -138,7 +138,7 @@ def phrase_matches(docs: DataFrame, index: DataFrame, items: DataFrame, rare: Da
     ranges = staged(ranges.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "ranges"), "ranges")
     texts = docs.select("doc_id", "text").join(ranges, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h"))).select("doc_id", "text", "ranges")
     words = longer.select("passage").distinct().select(F.explode(F.split("passage", " ")).alias("word")).distinct()
-    along = staged(postings(texts, words), "postings").where("word IS NOT NULL").distinct().select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("pos").alias("_pos"), F.col("word").alias("_word"))
+    along = staged(postings(texts, words, ranges="ranges"), "postings").where("word IS NOT NULL").distinct().select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("pos").alias("_pos"), F.col("word").alias("_word"))
     wanted = longer.select("doc_id", "h", "passage_id", "item_id", "offset", "length", F.posexplode(F.split("passage", " ")).alias("k", "word"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")) & (F.col("offset") + F.col("k") == F.col("_pos")) & (F.col("word") == F.col("_word"))
     hits = wanted.join(along, same)

@@ -83,17 +83,19 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def template_index(templates: DataFrame) -> DataFrame:
-    """(fingerprint, license, position, first word) of all winnowed shingles of (license, template)."""
+    """(fingerprint, license, position, shingle, template_key) of all winnowed shingles of (license, template); the key tells templates of one license apart."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             rows = []
-            for name, text in zip(b["license"].to_pylist(), binary(b["template"])):
+            for name, text, key in zip(b["license"].to_pylist(), binary(b["template"]), b["template_key"].to_pylist()):
                 words = words_of(text)
-                rows += [(h - (1 << 63), name, p, " ".join(w.decode() for w in words[p : p + SHINGLE])) for h, p in winnow(words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())], ["fingerprint", "license", "position", "shingle"])
+                rows += [(h - (1 << 63), name, p, " ".join(w.decode() for w in words[p : p + SHINGLE]), key) for h, p in winnow(words)]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["fingerprint", "license", "position", "shingle", "template_key"])
 
-    return templates.mapInArrow(run, "fingerprint long, license string, position long, shingle string")
+    keyed = templates.select("license", "template", F.xxhash64("license", "template").alias("template_key"))
+    return keyed.mapInArrow(run, "fingerprint long, license string, position long, shingle string, template_key long")
 
 
 def slack(length: int) -> int:
@@ -159,7 +161,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, covera
     ``coverage``: doc_id, license, coverage, n_matched, start_word, end_word (positions among the
     document's words, both inclusive).  Words are runs of a-z, digits and non-ASCII, lower-cased.
 
-    Null and empty texts, and templates without words, match nothing; repeated rows repeat
+    Templates that share a license are sought each, and each match is a row.  Null and empty texts, and templates without words, match nothing; repeated rows repeat
     their matches.  Fewer words than a shingle make one shorter shingle, which
     is sought as it is.
     """
@@ -183,46 +185,47 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, covera
 def _scan(docs: DataFrame, templates: DataFrame, coverage: float) -> DataFrame:
     """The matches of one block of templates."""
     spark = docs.sparkSession
-    entries, texts = template_index(templates).collect(), templates.collect()
-    index: dict[bytes, dict[tuple[bytes, ...], list[tuple[str, int]]]] = {}
+    entries, texts = template_index(templates).collect(), templates.select("license", "template", F.xxhash64("license", "template").alias("key")).collect()
+    names = {t["key"]: t["license"] for t in texts}
+    index: dict[bytes, dict[tuple[bytes, ...], list[tuple[int, int]]]] = {}
     for e in entries:
         shingle = tuple(e["shingle"].encode().split(b" "))
-        index.setdefault(shingle[0], {}).setdefault(shingle, []).append((e["license"], e["position"]))
-    sent = spark.sparkContext.broadcast((index, {t["license"]: words_of((t["template"] or "").encode()) for t in texts}))
+        index.setdefault(shingle[0], {}).setdefault(shingle, []).append((e["template_key"], e["position"]))
+    sent = spark.sparkContext.broadcast((index, {t["key"]: words_of((t["template"] or "").encode()) for t in texts}, names))
 
     def candidates(batches: Batches) -> Batches:
-        by_word, library = sent.value
+        by_word, library, _ = sent.value
         lengths = {k: sorted({len(s) for s in v}) for k, v in by_word.items()}
         for b in batches:
             rows = []
             for i, text in zip(b["doc_id"].to_pylist(), binary(b["text"])):
                 words = words_of(text)
-                hits: dict[str, list[tuple[int, int]]] = {}
+                hits: dict[int, list[tuple[int, int]]] = {}
                 for p in [p for p, w in enumerate(words) if w in by_word]:
                     for n in lengths[words[p]]:
-                        for name, at in by_word[words[p]].get(tuple(words[p : p + n]), ()):
-                            hits.setdefault(name, []).append((p, at))
-                for name, found in hits.items():
-                    size = len(library[name])
+                        for key, at in by_word[words[p]].get(tuple(words[p : p + n]), ()):
+                            hits.setdefault(key, []).append((p, at))
+                for key, found in hits.items():
+                    size = len(library[key])
                     for first, last in bands(found, size):
                         start = max(0, first - slack(size))
-                        rows.append((i, name, start, first - start, last - start, b" ".join(words[start : last + size + slack(size)]).decode()))
+                        rows.append((i, key, start, first - start, last - start, b" ".join(words[start : last + size + slack(size)]).decode()))
             columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "license", "start", "first", "last", "segment"])
+            kinds = [*[pa.int64()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "key", "start", "first", "last", "segment"])
 
     def judged(batches: Batches) -> Batches:
-        library = sent.value[1]
+        _, library, names = sent.value
         for b in batches:
             rows = []
-            for i, name, start, first, last, segment in zip(*(b[c].to_pylist() for c in ("doc_id", "license", "start", "first", "last", "segment"))):
-                template = library[name]
+            for i, key, start, first, last, segment in zip(*(b[c].to_pylist() for c in ("doc_id", "key", "start", "first", "last", "segment"))):
+                template = library[key]
                 n, low, high = align(template, segment.encode().split(b" "), first, last, slack(len(template)))
                 if n and n >= coverage * len(template):
-                    rows.append((i, name, n / len(template), n, start + low, start + high))
+                    rows.append((i, names[key], n / len(template), n, start + low, start + high))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "license", "coverage", "n_matched", "start_word", "end_word"])
 
-    found = docs.select("doc_id", "text").mapInArrow(candidates, "doc_id long, license string, start long, first long, last long, segment string")
+    found = docs.select("doc_id", "text").mapInArrow(candidates, "doc_id long, key long, start long, first long, last long, segment string")
     return found.mapInArrow(judged, "doc_id long, license string, coverage double, n_matched long, start_word long, end_word long")

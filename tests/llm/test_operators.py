@@ -750,3 +750,17 @@ def test_ranked_search_empty_tables(spark, none):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert ranked_search(none, items).count() == 0 and ranked_search(docs, items.limit(0)).count() == 0
     assert [tuple(r)[:3] for r in ranked_search(docs, items).collect()] == [(1, 1, 1)]
+
+
+def test_templates_of_one_license_and_clashing_columns(spark, odd):
+    from perilmesh.llm.decontaminate import contamination
+    from perilmesh.llm.license_scan import scan_licenses
+
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"x {a} y", 0, "z"), (2, f"{b} end", 1, "z")], "doc_id long, text string, key long, ranges string")
+    templates = spark.createDataFrame([("L", a), ("L", b)], "license string, template string")
+    assert sorted((r.doc_id, r.license, r.coverage) for r in scan_licenses(docs, templates).collect()) == [(1, "L", 1.0), (2, "L", 1.0)]
+    items = spark.createDataFrame([(7, a)], "item_id long, text string")
+    for column in ("ranges", "h", "_doc"):
+        got = contamination(odd.withColumnRenamed("size", column).unionByName(docs.select("doc_id", "text"), allowMissingColumns=True), items)
+        assert [r.doc_id for r in got.where("contaminated").collect()] == [1]
