@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, staged
+from .common import free_names, small_rows, staged
 
 #: Java patterns of characters other than lower-case letters and white space; each statistic is such characters' share of the text.
 CHARACTER_SHARES = {
@@ -151,8 +151,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, held_
     """Fit on documents with a quality label for which ``held_out`` (an expression over doc_id) isn't true.
 
     Of each label about ``sample`` documents are drawn by hash of the doc_id (all, if there are
-    fewer); this parameter bounds the rows of statistics that training sees, which are kept in one
-    partition in the order of doc_id so that reruns agree.  Texts are whole.  Several labels of a document count as 1 if
+    fewer); this parameter bounds the ids that are sent to all tasks to pick those texts (so no text is shuffled) and the rows of
+    statistics that training sees, which are kept in one partition in the order of doc_id so that reruns agree.  Texts are whole.  Several labels of a document count as 1 if
     most are 1; a null label is none; rows without a doc_id aren't trained on.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -162,8 +162,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, held_
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11).cast("double") * F.lit(2.0**-53)
     share = F.when(F.col("label") == 1, F.lit(sample / max(1, counts.get(1.0, 0)))).otherwise(F.lit(sample / max(1, counts.get(0.0, 0))))
-    chosen = known.where(draw < share)
-    rows = with_statistics(docs.select("doc_id", "text").join(chosen, "doc_id")).select("doc_id", "label", *STATISTICS)
+    ids = small_rows(known.where(draw < share).select("doc_id", "label"), 4 * sample)
+    if ids is None:
+        raise ValueError("the hash drew far more documents than asked for")
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, label double")
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "label", *STATISTICS)
     rows = staged(rows.repartition(1).sortWithinPartitions("doc_id", *STATISTICS), "quality-rows").drop("doc_id")
     rows.persist()
     try:
