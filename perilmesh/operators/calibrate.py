@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -52,14 +52,24 @@ def error_stats(errors: DataFrame, since: int) -> DataFrame:
     return out.select("hour", "window", "n", *(F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("sd", "mae", "p67")))
 
 
-def latest_at(values: DataFrame, dates: DataFrame) -> DataFrame:
-    """For each (year, month) of ``dates`` the value of that month or of the latest one before it.
+def latest_at(values: DataFrame, dates: DataFrame, block: int = 120) -> DataFrame:
+    """For each (year, month) of ``dates`` the value of that month or of the latest one before it; null if there is none.
 
-    Values are few (a row per month), so the range join has a small side; null if there is none.
+    An as-of join without pairs: values and dates are united, reduced to a row per month and filled forward within blocks of ``block``
+    months; what a block starts with is the last value of the blocks before it (one row per block).  Null values don't count; of
+    several values of a month the largest does.
     """
-    v = values.select((F.col("year") * 12 + F.col("month")).alias("at"), "value")
-    d = dates.select("year", "month", (F.col("year") * 12 + F.col("month")).alias("t")).distinct()
-    return d.join(F.broadcast(v), F.col("at") <= F.col("t"), "left").groupBy("year", "month").agg(F.max_by("value", "at").alias("value"))
+    at = (F.col("year").cast("long") * 12 + F.col("month") - 1).alias("at")
+    v = values.where("value IS NOT NULL").select(at, "value", F.lit(None).cast("struct<year:bigint,month:bigint>").alias("asked"))
+    d = dates.select(at, F.lit(None).cast(values.schema["value"].dataType).alias("value"), F.struct(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month")).alias("asked"))
+    months = v.unionByName(d).groupBy("at").agg(F.max("value").alias("value"), F.max("asked").alias("asked")).withColumn("block", F.floor(F.col("at") / block))
+    within = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = months.groupBy("block").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("at"))).alias("end"))
+    carried = ends.select("block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    filled = months.withColumn("own", F.last("value", ignorenulls=True).over(within)).where("asked IS NOT NULL")
+    types = {f.name: f.dataType for f in dates.schema.fields}
+    return filled.join(carried, "block").select(*(F.col(f"asked.{c}").cast(types[c]).alias(c) for c in ("year", "month")), F.coalesce("own", "carried").alias("value"))
 
 
 def regime(amo, oni) -> tuple[Column, Column]:

@@ -41,20 +41,35 @@ def append(known: DataFrame, rows: DataFrame, key: str, path: str, *order: str)
         new.unpersist()
 
 
-def fold_queue(moves: DataFrame) -> DataFrame:
-    """(decision_id, state) after all of a decision's moves (decision_id, seq, move) in order.
+def fold_queue(moves: DataFrame, fan_bits: int = 10) -> DataFrame:
+    """(decision_id, state) after all of a decision's moves (decision_id, seq, move) in order of seq, then of move.
 
-    A move that the current state doesn't allow changes nothing.
+    A move that the current state doesn't allow changes nothing; nor does one that is unknown, repeated or without seq or decision.  Moves
+    are maps of states, and maps compose associatively: runs of 2 ** ``fan_bits`` sequence numbers are composed first, then
+    runs of such runs, so that one decision's moves are spread over tasks and no list is longer than a run (times the number of moves).
     """
-    def step(state: Column, m: Column) -> Column:
-        out = None
-        for (before, move), after in MOVES.items():
-            met = (state == before) & (m["move"] == move)
-            out = F.when(met, after) if out is None else out.when(met, after)
-        return out.otherwise(state)
-
-    listed = moves.groupBy("decision_id").agg(F.array_sort(F.collect_list(F.struct("seq", "move"))).alias("log"))
-    return listed.select("decision_id", F.aggregate("log", F.lit("none"), step).alias("state"))
+    states = sorted({s for s, _ in MOVES} | set(MOVES.values()))
+    at = {s: i for i, s in enumerate(states)}
+    kinds = sorted({m for _, m in MOVES})
+    maps = {m: [at[MOVES.get((s, m), s)] for s in states] for m in kinds}
+    same = F.array(*(F.lit(i) for i in range(len(states))))
+    own = F.lit(None).cast("array<int>")
+    for m in kinds:
+        own = F.when(F.col("move") == m, F.array(*map(F.lit, maps[m]))).otherwise(own)
+    none = moves.select("decision_id").distinct()
+    runs = moves.where(F.col("move").isin(kinds) & F.col("seq").isNotNull() & F.col("decision_id").isNotNull())
+    runs = runs.select("decision_id", F.col("seq").cast("long").alias("run"), "move").distinct().withColumn("map", own)
+    low, high = runs.agg(F.min("run"), F.max("run")).first()
+
+    def composed(rows: DataFrame, *keys: str) -> DataFrame:
+        log = F.array_sort(F.collect_list(F.struct("run", "move", "map")))
+        return rows.groupBy(*keys).agg(log.alias("log")).select(*keys, F.aggregate("log", same, lambda acc, r: F.transform(acc, lambda s: F.get(r["map"], s))).alias("map"))
+
+    while low is not None and high - low >= 1 << fan_bits:
+        runs = composed(runs.withColumn("next", F.shiftright("run", fan_bits)), "decision_id", "next").select("decision_id", F.col("next").alias("run"), F.lit("").alias("move"), "map")
+        low, high = low >> fan_bits, high >> fan_bits
+    last = composed(runs, "decision_id").select("decision_id", F.get(F.array(*map(F.lit, states)), F.get("map", F.lit(at["none"]))).alias("state"))
+    return none.join(last, "decision_id", "left").select("decision_id", F.coalesce("state", F.lit("none")).alias("state"))
 
 
 def canonical(fields: dict) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assets, book, decide, extra, feeds, loss, more
+from . import assets, book, decide, extra, feeds, loss, more, spatial
 
-_MODULES = (book, loss, decide, feeds, more, extra, assets)
+_MODULES = (book, loss, decide, feeds, more, extra, assets, spatial)
 
 
 def queries() -> dict:
