@@ -36,31 +36,39 @@ def perimeter(area) -> Column:
     return _sum(lengths)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _added(rows: Column) -> Column:
+    return F.aggregate(rows, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q))
+
+
 def moments(area) -> Column:
     """(area, x, y): the plane area less the holes, and the centre of mass; a centre is null where the area is 0.
 
     Taken about the first point, so that small areas far from the origin keep their digits; either direction of a ring will do.
     """
     area = _c(area)
-    o = F.get(F.get(F.get(area, F.lit(0)), F.lit(0)), F.lit(0))
-
-    def of_ring(ring: Column, sign: Column) -> Column:
-        def edge(e):
-            ax, ay, bx, by = e["a"]["x"] - o["x"], e["a"]["y"] - o["y"], e["b"]["x"] - o["x"], e["b"]["y"] - o["y"]
-            cross = ax * by - bx * ay
-            return F.array(cross / 2, (ax + bx) * cross / 6, (ay + by) * cross / 6)
+    zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
-        zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-        of = F.coalesce(F.aggregate(F.transform(_edges(ring), edge), zero, lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q)), zero)
-        return F.transform(of, lambda t: t * sign * F.when(F.get(of, F.lit(0)) < 0, -1.0).otherwise(1.0))
+    def of_area(o: Column) -> Column:
+        def of_edge(p: Column) -> Column:
+            ax, ay, bx, by = (F.get(p, F.lit(i)) for i in range(4))
+            return _once(ax * by - bx * ay, lambda cross: F.array(cross / 2, (ax + bx) * cross / 6, (ay + by) * cross / 6))
 
-    rings = F.flatten(F.transform(area, lambda part: F.transform(part, lambda r, i: of_ring(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
+        def of_ring(ring: Column, i: Column) -> Column:
+            shifted = F.transform(_edges(ring), lambda e: F.array(e["a"]["x"] - o["x"], e["a"]["y"] - o["y"], e["b"]["x"] - o["x"], e["b"]["y"] - o["y"]))
+            own = F.coalesce(_added(F.transform(shifted, of_edge)), zero)
+            sign = F.when(i == 0, 1.0).otherwise(-1.0)
+            return _once(own, lambda t: _once(sign * F.when(F.get(t, F.lit(0)) < 0, -1.0).otherwise(1.0), lambda f: F.transform(t, lambda v: v * f)))
 
-    def total(i: int) -> Column:
-        return _sum(F.transform(rings, lambda t: F.get(t, F.lit(i))))
+        total = F.coalesce(_added(F.flatten(F.transform(area, lambda part: F.transform(part, of_ring)))), zero)
+        mean = lambda t, i, c: o[c] + F.try_divide(F.get(t, F.lit(i)), F.get(t, F.lit(0)))
+        return _once(total, lambda t: F.struct(F.get(t, F.lit(0)).alias("area"), mean(t, 1, "x").alias("x"), mean(t, 2, "y").alias("y")))
 
-    a, mx, my = total(0), total(1), total(2)
-    return F.struct(a.alias("area"), (o["x"] + F.try_divide(mx, a)).alias("x"), (o["y"] + F.try_divide(my, a)).alias("y"))
+    return _once(F.get(F.get(F.get(area, F.lit(0)), F.lit(0)), F.lit(0)), of_area)
 
 
 def box_ring(left, low, right, high) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import drive_hours, money_sum, retained_xs
+from .assignment import MOST_PLACES, least_cost
 from .decide import action_dim, dominant
 
 
@@ -67,21 +68,15 @@ def feasible_assignments(adjusters: DataFrame, zones: DataFrame, max_hours: floa
     return pairs.withColumn("hours", F.round(hours, 4)).where(F.col("hours") <= max_hours)
 
 
-def assign(adjusters: DataFrame, zones: DataFrame, *, max_hours: float = 8.0, rounds: int = 50) -> DataFrame:
-    """One zone per adjuster and day, at most ``capacity`` adjusters per zone, cheap in hours times expected claims.
+def assign(adjusters: DataFrame, zones: DataFrame, *, max_hours: float = 8.0) -> DataFrame:
+    """One zone per adjuster and day, at most ``capacity`` adjusters per zone, least in total of hours times expected claims (to 6 digits).
 
-    Deferred acceptance: each round every free adjuster proposes to the cheapest zone that hasn't refused it, and each zone keeps
-    the cheapest proposals it has room for.  All days are alike, so one day is solved.  Returns (adjuster_id, zone_id, hours, cost).
+    As many adjusters as can be are placed; where some are left out (they aren't listed) the source system calls the whole problem
+    infeasible.  All days are alike, so one day is solved.  Zones are a small side (``assignment.MOST_PLACES``).
+    Returns (adjuster_id, zone_id, hours, cost).
     """
-    open_ = feasible_assignments(adjusters, zones, max_hours).select("adjuster_id", "zone_id", "hours", F.round(F.col("hours") * F.col("expected_claim_volume"), 6).alias("cost"), "capacity").persist()
-    refused = None
-    for _ in range(rounds):
-        left = open_ if refused is None else open_.join(refused, ["adjuster_id", "zone_id"], "left_anti")
-        asked = left.withColumn("r", F.row_number().over(Window.partitionBy("adjuster_id").orderBy("cost", "zone_id"))).where("r = 1").drop("r")
-        ranked = asked.withColumn("r", F.row_number().over(Window.partitionBy("zone_id").orderBy("cost", "adjuster_id")))
-        out = [(r["adjuster_id"], r["zone_id"]) for r in ranked.where("r > capacity").select("adjuster_id", "zone_id").collect()]
-        if not out:
-            return ranked.select("adjuster_id", "zone_id", "hours", "cost")
-        new = open_.sparkSession.createDataFrame(out, open_.select("adjuster_id", "zone_id").schema)
-        refused = new if refused is None else refused.unionByName(new)
-    return ranked.where("r <= capacity").select("adjuster_id", "zone_id", "hours", "cost")
+    pairs = feasible_assignments(adjusters, zones, max_hours).select(F.col("adjuster_id").alias("who"), F.col("zone_id").alias("place"), "hours", F.round(F.col("hours") * F.col("expected_claim_volume"), 6).alias("exact"))
+    pairs = pairs.withColumn("cost", F.round(F.col("exact") * 1_000_000).cast("long"))
+    room = {r["zone_id"]: r["capacity"] for r in zones.select("zone_id", "capacity").limit(MOST_PLACES + 1).collect()}
+    chosen = least_cost(pairs, room).select("who", "place")
+    return pairs.join(chosen, ["who", "place"]).select(F.col("who").alias("adjuster_id"), F.col("place").alias("zone_id"), "hours", F.col("exact").alias("cost"))
