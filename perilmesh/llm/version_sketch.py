@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of the digests of its paragraphs, cut after line ends and after
-sentence ends (short texts: also of groups of words).  Its sketch has three tables of cells; each digest goes into one cell of each,
+A text is the set of the digests of its paragraphs, which end by content: at line and sentence ends, after words whose
+hash says so (one in three), and after three words at most.  One rule holds for texts of every size, and an edit changes
+the paragraphs around it only.  A paragraph's repetitions count as further ones.  A sketch has three tables of cells; each digest goes into one cell of each,
 adding to a count and combining by exclusive or into a key and a check sum.  The
 difference of two sketches holds exactly the digests that one text has and the other
 lacks; a cell with a single one of them gives it away, and taking it out lays others
@@ -15,6 +16,7 @@ import re
 import struct
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,26 +26,71 @@ from .common import Batches, cuts
 
 _CUT = re.compile(r"[.!?]\s+|\n")
 _FAR = -(1 << 63)
-#: Texts of up to so many characters are also cut into groups of so many words.
-_SHORT, _GROUP = 2000, 3
+#: A paragraph ends after a word whose hash is divisible by _ENDS, or after _MOST words.
+_ENDS, _MOST = 3, 3
+#: Runs of more letters than _LONG are cut into words after letters whose code point is divisible by 8.
+_LONG = 24
+_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_hash = xxhash.xxh3_64_intdigest
+
+
+def _words(piece: str) -> list[str]:
+    words = piece.split()
+    if not words or max(map(len, words)) <= _LONG:
+        return words
+    out = []
+    for w in words:
+        start = 0
+        if len(w) > _LONG:
+            for i, c in enumerate(w, 1):
+                if ord(c) % 8 == 0:
+                    out.append(w[start:i])
+                    start = i
+        if start < len(w):
+            out.append(w[start:])
+    return out
+
+
+def _of_piece(piece: str) -> list[int]:
+    words = _words(piece)
+    out, start = [], 0
+    for i, h in enumerate(map(_hash, words), 1):
+        if h % _ENDS == 0 or i - start == _MOST:
+            out.append(_hash(" ".join(words[start:i])))
+            start = i
+    if start < len(words):
+        out.append(_hash(" ".join(words[start:])))
+    return out
 
 
-def digests(text: str) -> set[int]:
-    """64-bit digests of the non-blank paragraphs of a text; of a short one also of all word groups of each.
+def digests(text: str, known: dict[str, list[int]] | None = None) -> set[int]:
+    """64-bit digests of the paragraphs of a text, repetitions with their number.
 
-    A text of one or two sentences would else share no digest with a version that is edited somewhere in them.
+    ``known`` keeps what sentences give, for another version of the text.
     """
-    pieces = [p for p in map(str.strip, _CUT.split(text)) if p]
-    out = set(map(xxhash.xxh3_64_intdigest, pieces))
-    if len(text) <= _SHORT:
-        for piece in pieces:
-            words = piece.split()
-            out.update(xxhash.xxh3_64_intdigest("\0" + " ".join(words[i : i + _GROUP])) for i in range(0, len(words), _GROUP))
+    known = {} if known is None else known
+    out: set[int] = set()
+    times: dict[int, int] = {}
+    for piece in _CUT.split(text):
+        own = known.get(piece)
+        if own is None:
+            own = known[piece] = _of_piece(piece)
+        for h in own:
+            if h in out:
+                n = times[h] = times.get(h, 0) + 1
+                h = (h ^ n * _ODD) & _MASK
+            out.add(h)
     return out
 
 
-def _check(key: int) -> int:
-    return (key * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
+def _check(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(_ODD)) >> np.uint64(32)
+
+
+def _cells(keys: np.ndarray, width: int) -> np.ndarray:
+    """The cells of each key, table after table."""
+    w = np.uint64(width)
+    return np.concatenate([keys % w, (keys >> np.uint64(21)) % w + w, (keys >> np.uint64(42)) % w + w + w]).astype(np.int64)
 
 
 class Sketch:
@@ -52,44 +99,47 @@ class Sketch:
     __slots__ = ("width", "counts", "keys", "checks")
 
     def __init__(self, width: int, keys=()):
-        self.width = w = width
-        self.counts, self.keys, self.checks = [0] * (3 * w), [0] * (3 * w), [0] * (3 * w)
-        counts, own, checks = self.counts, self.keys, self.checks
-        for k in keys:
-            c = (k * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
-            for p in (k % w, w + (k >> 21) % w, 2 * w + (k >> 42) % w):
-                counts[p] += 1
-                own[p] ^= k
-                checks[p] ^= c
+        self.width = width
+        self.counts = np.zeros(3 * width, np.int64)
+        self.keys, self.checks = np.zeros(3 * width, np.uint64), np.zeros(3 * width, np.uint64)
+        if len(keys):
+            own = np.fromiter(keys, np.uint64, len(keys))
+            self._put(own, np.ones(len(own), np.int64))
+
+    def _put(self, keys: np.ndarray, signs: np.ndarray) -> None:
+        cells = _cells(keys, self.width)
+        order = np.argsort(cells, kind="stable")
+        cells, who = cells[order], order % len(keys)
+        starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        at, all_keys = cells[starts], keys[who]
+        self.counts[at] += np.add.reduceat(signs[who], starts)
+        self.keys[at] ^= np.bitwise_xor.reduceat(all_keys, starts)
+        self.checks[at] ^= np.bitwise_xor.reduceat(_check(all_keys), starts)
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.width)
-        out.counts = [a - b for a, b in zip(self.counts, other.counts)]
-        out.keys = [a ^ b for a, b in zip(self.keys, other.keys)]
-        out.checks = [a ^ b for a, b in zip(self.checks, other.checks)]
+        out.counts, out.keys, out.checks = self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
         return out
 
     def peel(self) -> tuple[set[int], set[int]] | None:
-        """Digests only in the first and only in the second text; None if stuck.  Empties the sketch."""
-        w, counts, keys, checks = self.width, self.counts, self.keys, self.checks
-        ready, first, second = [p for p, n in enumerate(counts) if n == 1 or n == -1], set(), set()
-        while ready:
-            p = ready.pop()
-            n, k = counts[p], keys[p]
-            if n not in (1, -1) or checks[p] != (c := _check(k)):
-                continue
-            (first if n == 1 else second).add(k)
-            for q in (k % w, w + (k >> 21) % w, 2 * w + (k >> 42) % w):
-                counts[q] -= n
-                keys[q] ^= k
-                checks[q] ^= c
-                if counts[q] in (1, -1):
-                    ready.append(q)
-        return None if any(counts) or any(keys) else (first, second)
+        """Digests only in the first and only in the second text; None if stuck.  Empties the sketch, all open cells at a time."""
+        first: set[int] = set()
+        second: set[int] = set()
+        for _ in range(3 * self.width + 1):  # each round empties a cell
+            open_ = np.flatnonzero(np.abs(self.counts) == 1)
+            open_ = open_[self.checks[open_] == _check(self.keys[open_])]
+            if not len(open_):
+                break
+            keys, at = np.unique(self.keys[open_], return_index=True)
+            signs = self.counts[open_[at]]
+            first.update(keys[signs == 1].tolist())
+            second.update(keys[signs == -1].tolist())
+            self._put(keys, -signs)
+        return None if self.counts.any() or self.keys.any() else (first, second)
 
     def text(self) -> str:
         """The sketch as a string: 14 bytes a cell, in base64."""
-        return base64.b64encode(b"".join(struct.pack("<hQI", (n + 32768) % 65536 - 32768, k, c) for n, k, c in zip(self.counts, self.keys, self.checks))).decode()
+        return base64.b64encode(b"".join(struct.pack("<hQI", (n + 32768) % 65536 - 32768, k, c) for n, k, c in zip(self.counts.tolist(), self.keys.tolist(), self.checks.tolist()))).decode()
 
 
 def difference(a: set[int], b: set[int], sketch_a: Sketch, sketch_b: Sketch) -> tuple[set[int], set[int]]:
@@ -149,21 +199,22 @@ def versions(docs: DataFrame, *, width: int = 8, ranges: int | None = None) -> D
     dealt = placed.select("doc_id", "_k", "text", F.col("_to.r").alias("_range"), F.col("_to.b").alias("_lent")).repartition(n, deal).sortWithinPartitions("_range", "_lent", F.desc("_k"), "text")
 
     def run(batches: Batches) -> Batches:
-        before = None  # the document that waits for its next one: range, id, text, digests, sketch
+        before = None  # the document that waits for its next one: range, id, text, digests, sketch, what its sentences give
         for b in batches:
             out = []
             for i, text, part, lent in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "_range", "_lent"))):
                 if lent and (before is None or before[0] != part):
                     continue
-                own = digests(text)
+                known: dict[str, list[int]] = {}
+                own = digests(text, known)
                 sketch = Sketch(width, own)
                 if before is not None:
-                    _, old, was, had, drawn = before
+                    _, old, was, had, drawn, seen = before
                     new = edited(was, text)
-                    has = digests(new)
+                    has = digests(new, known | seen)
                     other = Sketch(width, has)
                     out.append((old, len(was), sha256(new.encode()).hexdigest(), drawn.text(), other.text(), likeness(had, has, drawn, other), likeness(had, own, drawn, sketch)))
-                before = None if lent else (part, i, text, own, sketch)
+                before = None if lent else (part, i, text, own, sketch, known)
             names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             columns = list(zip(*out)) or [()] * len(names)

@@ -327,6 +327,25 @@ def test_sketch_recovers_differences():
         assert difference(x, y, Sketch(8, x), Sketch(8, y)) == (a, b)
 
 
+def test_cutting_is_by_content_at_every_size(sf):
+    from perilmesh.llm.version_sketch import digests, edited
+
+    rng = random.Random(8)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(40_000)]
+    for n in (60, 330, 340, 5000, 40_000):  # no sentence ends; about 2000 characters lie between the second and the third
+        text = " ".join(words[:n])
+        assert like(digests(text), digests("Up front, " + text)) > 1 - 40 / n - 0.01
+        assert like(digests(text), digests(text + " ab")) > 1 - 20 / n
+        assert 0.25 < like(digests(text), digests(edited(text, " ".join(reversed(words))))) < 0.5
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000))
+    assert like(digests(run), digests("xy" + run)) > 0.97 and like(digests("ab " * 3000), digests("ab " * 1500)) > 0.45
+    assert digests("") == digests(" \n") == set() and len(digests("ab. ab. ab.")) == 3
+    known: dict = {}
+    digests("One two three. Four five", known)
+    assert digests("Four five\nOne two three", known) == digests("Four five\nOne two three")
+
+
 # ------------------------------------------------------------- 7 simhash
 
 
