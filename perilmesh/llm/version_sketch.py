@@ -31,6 +31,7 @@ _ENDS, _MOST = 3, 3
 #: Runs of more letters than _LONG are cut into words after letters whose code point is divisible by 8.
 _LONG = 24
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_FIRST = np.zeros(1, np.int64)
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -108,13 +109,19 @@ class Sketch:
 
     def _put(self, keys: np.ndarray, signs: np.ndarray) -> None:
         cells = _cells(keys, self.width)
-        order = np.argsort(cells, kind="stable")
-        cells, who = cells[order], order % len(keys)
-        starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-        at, all_keys = cells[starts], keys[who]
+        order = cells.argsort()
+        cells = cells[order]
+        starts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+        starts = np.concatenate((_FIRST, starts))
+        at = cells[starts]
+        own = np.empty((len(cells), 2), np.uint64)
+        who = order % len(keys)
+        own[:, 0] = keys[who]
+        own[:, 1] = _check(own[:, 0])
+        both = np.bitwise_xor.reduceat(own, starts)
         self.counts[at] += np.add.reduceat(signs[who], starts)
-        self.keys[at] ^= np.bitwise_xor.reduceat(all_keys, starts)
-        self.checks[at] ^= np.bitwise_xor.reduceat(_check(all_keys), starts)
+        self.keys[at] ^= both[:, 0]
+        self.checks[at] ^= both[:, 1]
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.width)
@@ -145,7 +152,7 @@ class Sketch:
 def difference(a: set[int], b: set[int], sketch_a: Sketch, sketch_b: Sketch) -> tuple[set[int], set[int]]:
     """What only ``a`` and only ``b`` has, by peeling; larger sketches follow on failure."""
     found = sketch_a.minus(sketch_b).peel()
-    width = max(2 * sketch_a.width, (len(a) + len(b)) // 2 + 4)  # room for a full difference
+    width = max(2 * sketch_a.width, len(a) + len(b) + 4)  # ample room for a full difference: few rounds of peeling
     while found is None:
         found = Sketch(width, a).minus(Sketch(width, b)).peel()
         width *= 2
