@@ -19,10 +19,13 @@ def episode_beta(events: DataFrame, *keys: str, least: int = 8) -> DataFrame:
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, mean_forecast, observed, n) of (forecast, observation) in equal-width bins of the forecast.
 
-    As in the source system the row with the largest forecast falls off the last bin.
+    As in the source system the row with the largest forecast falls off the last bin.  The share of the span is taken
+    first and then multiplied (``width_bucket`` does it the other way round, which moves forecasts that lie on an edge).
+    Without a finite span no row has a bin.
     """
     span = rows.agg(F.min("forecast").alias("lo"), F.max("forecast").alias("hi"))
-    place = F.expr(f"width_bucket(forecast, lo, hi, {bins})") - 1
+    width = F.col("hi") - F.col("lo")
+    place = F.when((width > 0) & (width < float("inf")), F.floor((F.col("forecast") - F.col("lo")) / width * bins))
     binned = rows.join(F.broadcast(span)).withColumn("bin", place).where(f"bin < {bins}")
     return binned.groupBy("bin").agg((money_sum("forecast") / F.count("*")).alias("mean_forecast"), F.avg((F.col("observation") <= F.col("forecast")).cast("double")).alias("observed"), F.count("*").alias("n"))
 

@@ -35,7 +35,8 @@ def _pairs(spark, d):
 
 @query(oracle(f"pairs AS ({_PAIR})", "SELECT bin, round(sum(forecast::DECIMAL(18,4))::DOUBLE / count(*), 6) AS mean_forecast, round(avg((observation <= forecast)::INT), 9) AS observed, count(*) AS n FROM (SELECT *, floor((forecast - lo) / (hi - lo) * 10)::BIGINT AS bin FROM pairs, (SELECT min(forecast) AS lo, max(forecast) AS hi FROM pairs)) WHERE bin < 10 GROUP BY bin"))
 def a31_reliability(spark, d):
-    return K.reliability(_pairs(spark, d)).select("bin", F.round("mean_forecast", 6).alias("mean_forecast"), F.round("observed", 9).alias("observed"), "n")
+    mean = F.round(F.col("mean_forecast") * 1e6) / 1e6  # halves as SQL rounds them: by the scaled number, not by its decimal digits
+    return K.reliability(_pairs(spark, d)).select("bin", mean.alias("mean_forecast"), F.round("observed", 9).alias("observed"), "n")
 
 
 @query("SELECT b AS bin, count(x) AS n FROM (SELECT unnest(range(10)) AS b) LEFT JOIN (SELECT (event_id % 101)::DOUBLE / 100 AS x FROM events) ON least(floor(x * 10), 9) = b GROUP BY b")

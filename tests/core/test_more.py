@@ -72,3 +72,23 @@ def test_calibration_edges(spark):
     dates = spark.createDataFrame([(2000, 1), (2000, 5), (2001, 1), (1999, 1)], "year int, month int")
     assert {(r.year, r.month): r.value for r in K.latest_at(values, dates).collect()} == {(2000, 1): 5, (2000, 5): 5, (2001, 1): 7, (1999, 1): None}
     assert K.log_likelihood(spark.createDataFrame([(2, 0.5), (0, 0.0)], "n int, p double")).first().ll == pytest.approx(2 * np.log(0.5))
+
+
+@pytest.mark.parametrize("values", ([0.0, 120.03, 240.06, 280.07, 360.09, 400.1], [0.0, 2000.0, 520.52] + 63 * [520.5]), ids=("edges", "halves"))
+def test_reliability_equals_sql_on_edges_and_halves(spark, tmp_path, values):
+    import duckdb
+
+    from perilmesh.plans import registry
+
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(registry.oracle_sql()["a31_reliability"]).fetchall()
+    assert sorted(map(tuple, registry.queries()["a31_reliability"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_reliability_without_a_span(spark):
+    from perilmesh.operators import calibrate as K
+
+    for forecasts in ([], [2.0, 2.0], [1.0, float("nan")], [None]):
+        assert not K.reliability(spark.createDataFrame([(f, 1.0) for f in forecasts], "forecast double, observation double")).collect()
