@@ -232,17 +232,64 @@ _ROW = "key long, block int, id long, w0 long, w1 long, s0 long, s1 long, n long
 _NUMBERS = ("id", "w0", "w1", "s0", "s1", "n", "label")
 
 
-def _maybe(row: np.ndarray, others: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``others`` may be 0.8 similar to ``row``, by sizes and sketches; and the differing bits of the wide hash.
+def _alike(n: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles whose small sketches differ in ``bits`` bits may be 0.8 similar.
 
     The bound on parities is exact; that on least hashes leaves out a pair of similarity 0.8 in one of ten thousand.
     """
+    fits = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    return fits & np.where((n <= _BINS) & (m <= _BINS), 9 * bits <= n + m, ((n <= _BINS) | (m <= _BINS)) | (bits <= 26))
+
+
+def _maybe(row: np.ndarray, others: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``others`` may be 0.8 similar to ``row``, by sizes and sketches; and the differing bits of the wide hash."""
     far = np.bitwise_count((others[:, 1:3] ^ row[1:3]).view(np.uint64)).sum(axis=1, dtype=np.int64)
     bits = np.bitwise_count((others[:, 3:5] ^ row[3:5]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-    n, m = others[:, 5], row[5]
-    fits = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
-    few = np.where((n <= _BINS) & (m <= _BINS), 9 * bits <= n + m, ((n <= _BINS) | (m <= _BINS)) | (bits <= 26))
-    return fits & few & (far <= near), far
+    return _alike(others[:, 5], row[5], bits) & (far <= near), far
+
+
+_MET = "key long, id long, s0 long, s1 long, n long"
+
+
+def _partnered(rows: np.ndarray, most: int) -> np.ndarray:
+    """Which of ``rows`` (key, id, s0, s1, n; sorted by key) may be similar to another one of their key; all of more than ``most``."""
+    starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))) if len(rows) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(rows)))
+    keep = np.repeat(sizes > most, sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(rows))  # rows of the key from here on
+    at = np.flatnonzero(~keep & (left > 1))
+    step = 1
+    while len(at):
+        a, b = rows[at], rows[at + step]
+        hit = at[_alike(a[:, 4], b[:, 4], np.bitwise_count((a[:, 2:4] ^ b[:, 2:4]).view(np.uint64)).sum(axis=1, dtype=np.int64))]
+        keep[hit] = keep[hit + step] = True
+        step += 1
+        at = at[left[at] > step]
+    return keep
+
+
+def _meeting(batches: Batches, most: int = 256) -> Batches:
+    """(key, id) of the rows that may be similar to another one at their anchor, by sizes and small sketches.
+
+    Most rows that share an anchor do so by coincidence, and such pairs grow with the square of the number of
+    texts; they end here.  Rows come sorted by key.  Anchors of more than ``most`` rows pass whole, so a row is compared with fewer than that.
+    """
+    held, crowd = np.empty((0, 5), np.int64), None  # the last key's rows, which may go on; the last key, if it has passed ``most``
+    for b in batches:
+        rows = np.concatenate((held, np.stack([b[c.split()[0]].to_numpy() for c in _MET.split(", ")], axis=1)))
+        if not len(rows):
+            continue
+        past = np.searchsorted(rows[:, 0], crowd, "right") if crowd is not None else 0
+        last = np.searchsorted(rows[:, 0], rows[-1, 0])
+        if len(rows) - last > most or last < past:
+            crowd, end = rows[-1, 0], len(rows)
+        else:
+            crowd, end = None, last
+        done, held = rows[:end], rows[end:]
+        done = done[np.concatenate((np.ones(past, bool), _partnered(done[past:], most)))]
+        yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], ["key", "id"])
+    done = held[_partnered(held, most)]
+    yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], ["key", "id"])
 
 
 def _groups(batches: Batches):
@@ -317,7 +364,7 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
     word pairs: texts that differ in at most 2 bits of a quarter meet (about 95 % of
     those with similarity 0.8, more of nearer ones).  Every link is checked on whole texts.
 
-    Not every pair that meets is checked, but each is either checked, ruled out by sketches (``_maybe``), or within one
+    Not every pair that meets is checked, but each is either checked, ruled out by sketches (``_meeting``, ``_maybe``), or within one
     component of the links already found.  First the rows of each anchor are checked with leaders, in blocks of
     about ``block`` rows, then one row of each component there; last all pairs between components.  For that
     an anchor's rows of its largest component are dealt into blocks and those of the others go to each block, so an anchor that
@@ -346,16 +393,17 @@ def similar_links(docs: DataFrame, *, words_each: int = 5, least: float = 0.8, n
 
     def at_anchors(batches: Batches) -> Batches:
         for b in batches:
-            ids, w = b["id"].to_numpy(), np.stack([b[c].to_numpy() for c in ("w0", "w1")], axis=1)
-            for i in range(0, len(ids), 4096):
+            own, w = [b[c].to_numpy() for c in ("id", "s0", "s1", "n")], np.stack([b[c].to_numpy() for c in ("w0", "w1")], axis=1)
+            for i in range(0, len(w), 4096):
                 quarters = np.ascontiguousarray(w[i : i + 4096]).view(np.uint32).astype(np.uint64)
                 for k in range(4):
                     found, owner = anchors(quarters[:, k], 31)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096][owner]), pa.array((found | np.uint64(k << 32)).view(np.int64))], ["id", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array((found | np.uint64(k << 32)).view(np.int64)), *(pa.array(x[i : i + 4096][owner]) for x in own)], [c.split()[0] for c in _MET.split(", ")])
 
-    met = wide.select("id", "w0", "w1").mapInArrow(at_anchors, "id long, key long")
-    crowded = staged(met.groupBy("key").count().where("count > 1"), "crowded")
-    crowds = staged(met.join(crowded, "key"), "crowds")  # key, id, count
+    # anchors are hashed into partitions with all that is needed to rule out those who meet by coincidence
+    met = staged(wide.mapInArrow(at_anchors, _MET).repartition("key").sortWithinPartitions("key").mapInArrow(_meeting, "key long, id long"), "met")
+    crowded = staged(met.groupBy("key").count(), "crowded")
+    crowds = met.join(crowded, "key")  # key, id, count
 
     def dealt(rows: DataFrame) -> DataFrame:
         """Rows with key, block, id, label and home, beside their sketches, sorted in their groups."""

@@ -783,3 +783,50 @@ def test_templates_of_one_license_and_clashing_columns(spark, odd):
     for column in ("ranges", "h", "_doc"):
         got = contamination(odd.withColumnRenamed("size", column).unionByName(docs.select("doc_id", "text"), allowMissingColumns=True), items)
         assert [r.doc_id for r in got.where("contaminated").collect()] == [1]
+
+
+def test_similar_links_rows_that_meet_by_coincidence(spark, monkeypatch):
+    from perilmesh.llm import simhash as S
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=300))
+    texts = [text() for _ in range(600)]  # unlike texts of one small vocabulary share many anchors
+    texts += [texts[0] + " end", "start " + texts[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, plain = [], S.staged
+
+    def counted(df, name, **options):
+        out = plain(df, name, **options)
+        if "key" in out.columns and "id" in out.columns:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "staged", counted)
+    assert {tuple(r) for r in S.similar_links(docs).collect()} == {(0, 600), (1, 601)}
+    assert met and max(met) <= 2 * 68 * 2, met  # two pairs with at most 68 anchors a text
+
+
+def test_meeting_equals_all_pairs():
+    import pyarrow as pa
+
+    from perilmesh.llm import simhash as S
+
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(-300, 300, 1500) // np.where(rng.random(1500) < 0.2, 100, 1))
+    rows = np.stack([keys, np.arange(1500), *rng.integers(-(1 << 62), 1 << 62, (2, 1500)), rng.integers(1, 400, 1500)], axis=1)
+    for i in rng.integers(1, 1500, 200):
+        rows[i, 2:] = rows[i - 1, 2:]
+    alike = set()
+    for key, i, s0, s1, n in rows.tolist():
+        for j in np.flatnonzero(keys == key).tolist():
+            bits = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in ((s0, int(rows[j, 2])), (s1, int(rows[j, 3]))))
+            if i != j and S._alike(np.array(n), rows[j, 4], np.array(bits)):
+                alike.add((key, i))
+    assert 100 < len(alike) < 1400
+    for most in (4, 40, 5000):
+        want = alike | {(k, i) for k, i in rows[:, :2].tolist() if (keys == k).sum() > most}
+        for size in (1, 7, 64, 5000):
+            batches = (pa.RecordBatch.from_arrays([pa.array(rows[i : i + size, k]) for k in range(5)], ["key", "id", "s0", "s1", "n"]) for i in range(0, 1500, size))
+            got = [x for b in S._meeting(batches, most) for x in zip(b["key"].to_pylist(), b["id"].to_pylist())]
+            assert len(got) == len(set(got)) and set(got) == want, (size, most)
