@@ -31,7 +31,6 @@ _ENDS, _MOST = 3, 3
 #: Runs of more letters than _LONG are cut into words after letters whose code point is divisible by 8.
 _LONG = 24
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_FIRST = np.zeros(1, np.int64)
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -55,8 +54,8 @@ def _words(piece: str) -> list[str]:
 def _of_piece(piece: str) -> list[int]:
     words = _words(piece)
     out, start = [], 0
-    for i, h in enumerate(map(_hash, words), 1):
-        if h % _ENDS == 0 or i - start == _MOST:
+    for i, w in enumerate(words, 1):
+        if i - start == _MOST or _hash(w) % _ENDS == 0:
             out.append(_hash(" ".join(words[start:i])))
             start = i
     if start < len(words):
@@ -107,21 +106,12 @@ class Sketch:
             own = np.fromiter(keys, np.uint64, len(keys))
             self._put(own, np.ones(len(own), np.int64))
 
-    def _put(self, keys: np.ndarray, signs: np.ndarray) -> None:
-        cells = _cells(keys, self.width)
-        order = cells.argsort()
-        cells = cells[order]
-        starts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
-        starts = np.concatenate((_FIRST, starts))
-        at = cells[starts]
-        own = np.empty((len(cells), 2), np.uint64)
-        who = order % len(keys)
-        own[:, 0] = keys[who]
-        own[:, 1] = _check(own[:, 0])
-        both = np.bitwise_xor.reduceat(own, starts)
-        self.counts[at] += np.add.reduceat(signs[who], starts)
-        self.keys[at] ^= both[:, 0]
-        self.checks[at] ^= both[:, 1]
+    def _put(self, keys: np.ndarray, signs: np.ndarray, cells: np.ndarray | None = None) -> None:
+        cells = _cells(keys, self.width) if cells is None else cells
+        np.add.at(self.counts, cells, np.concatenate((signs, signs, signs)))
+        np.bitwise_xor.at(self.keys, cells, np.concatenate((keys, keys, keys)))
+        checks = _check(keys)
+        np.bitwise_xor.at(self.checks, cells, np.concatenate((checks, checks, checks)))
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.width)
@@ -137,11 +127,16 @@ class Sketch:
             open_ = open_[self.checks[open_] == _check(self.keys[open_])]
             if not len(open_):
                 break
-            keys, at = np.unique(self.keys[open_], return_index=True)
-            signs = self.counts[open_[at]]
+            keys = self.keys[open_]
+            cells = _cells(keys, self.width).reshape(3, -1)
+            at = np.zeros(3 * self.width, bool)
+            at[open_] = True
+            lower = at[cells[:2]]  # a key that is alone in several cells is taken from that of its first table
+            own = ~(lower[0] & (open_ >= self.width) | lower[1] & (open_ >= 2 * self.width))
+            keys, signs, cells = keys[own], self.counts[open_[own]], cells[:, own].ravel()
             first.update(keys[signs == 1].tolist())
             second.update(keys[signs == -1].tolist())
-            self._put(keys, -signs)
+            self._put(keys, -signs, cells)
         return None if self.counts.any() or self.keys.any() else (first, second)
 
     def text(self) -> str:
@@ -154,7 +149,9 @@ def difference(a: set[int], b: set[int], sketch_a: Sketch, sketch_b: Sketch) ->
     found = sketch_a.minus(sketch_b).peel()
     width = max(2 * sketch_a.width, len(a) + len(b) + 4)  # ample room for a full difference: few rounds of peeling
     while found is None:
-        found = Sketch(width, a).minus(Sketch(width, b)).peel()
+        both = Sketch(width, a)
+        both._put(np.fromiter(b, np.uint64, len(b)), np.full(len(b), -1))  # sketches add up: this is the difference of both
+        found = both.peel()
         width *= 2
     return found
 

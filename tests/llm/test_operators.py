@@ -830,3 +830,27 @@ def test_meeting_equals_all_pairs():
             batches = (pa.RecordBatch.from_arrays([pa.array(rows[i : i + size, k]) for k in range(5)], ["key", "id", "s0", "s1", "n"]) for i in range(0, 1500, size))
             got = [x for b in S._meeting(batches, most) for x in zip(b["key"].to_pylist(), b["id"].to_pylist())]
             assert len(got) == len(set(got)) and set(got) == want, (size, most)
+
+
+def test_sketches_by_less_work(monkeypatch):
+    from perilmesh.llm import version_sketch as V
+
+    rng = random.Random(8)
+    for most in (0, 5, 40, 700):
+        a, b = ({rng.randrange(1 << 64) for _ in range(rng.randint(0, most))} for _ in range(2))
+        b |= set(list(a)[: len(a) // 2])
+        sketch = V.Sketch(8, a)
+        counts, keys = [0] * 24, [0] * 24
+        for k in a:
+            for at in (k % 8, (k >> 21) % 8 + 8, (k >> 42) % 8 + 16):
+                counts[at] += 1
+                keys[at] ^= k
+        assert sketch.counts.tolist() == counts and sketch.keys.tolist() == keys
+        assert V.difference(a, b, sketch, V.Sketch(8, b)) == (a - b, b - a)
+    words, hashed = [f"w{i}" for i in range(600)], []
+    monkeypatch.setattr(V, "_hash", lambda x: hashed.append(x) or hash_of(x))
+    import xxhash
+
+    hash_of = xxhash.xxh3_64_intdigest
+    pieces = V._of_piece(" ".join(words))
+    assert len(hashed) < 600 + len(pieces)  # a word that ends a paragraph by its place isn't hashed
