@@ -34,6 +34,7 @@ _OFFSETS = [(0, *rest) for p in (3, 4) for rest in combinations(range(1, SPAN),
 _BASE = {3: 0, 4: _CLASSES**3}
 _SIZE = _CLASSES**3 + _CLASSES**4
 _BLOCK, _OVERLAP = 1 << 18, 256
+_ROWS = 1024  # examples in hand at a time in training
 
 
 def _class_of(code: int) -> int:
@@ -182,13 +183,18 @@ def kernel(a: str, b: str) -> float:
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the bias) of a squared-hinge SVM, by Newton steps on the active set."""
-    x = np.hstack((x, np.ones((len(x), 1))))
+    """Weights (the last is the bias) of a squared-hinge SVM, by Newton steps on the active set; the last column of ``x`` is 1."""
     v = np.zeros(x.shape[1])
     for _ in range(rounds):
         active = y * (x @ v) < 1
-        xa = x[active] * weight[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + ridge * np.eye(x.shape[1]), xa.T @ y[active])
+        square, side = ridge * np.eye(x.shape[1]), np.zeros(x.shape[1])
+        for i in range(0, len(x), _ROWS):  # no copy of all active rows
+            of = slice(i, i + _ROWS)
+            own = x[of][active[of]]
+            heavy = (own * weight[of][active[of], None]).T
+            square += heavy @ own
+            side += heavy @ y[of][active[of]]
+        new = np.linalg.solve(square, side)
         if np.allclose(new, v, atol=1e-6):
             break
         v = new
@@ -214,8 +220,11 @@ def _first_table(bad: list[Spans], good: list[Spans]) -> np.ndarray:
         return n
 
     b, g = counts(bad), counts(good)
+    table, often = np.zeros(_SIZE, np.float32), np.flatnonzero(b > 1)
+    b, g = b[often], g[often]
     odds = np.log((b + 0.5) / (len(bad) + 1)) - np.log((g + 0.5) / (len(good) + 1))
-    return _without_ends(np.where((odds > 0) & (b > 1), odds * np.sqrt(b), 0).astype(np.float32))
+    table[often] = np.where(odds > 0, odds * np.sqrt(b), 0)
+    return _without_ends(table)
 
 
 Example = tuple[np.ndarray, int, int, float]  # codes, start, end, value
@@ -236,28 +245,35 @@ def _machine(positive: list[Example], negative: list[Example], hard: list[Exampl
     marks = pick(positive, landmarks // 2) + pick(hard, landmarks // 4)
     marks += pick(negative, landmarks - len(marks))
     found = [_features(*m[:3]) for m in marks]
+    # the landmarks' features by column, as entries (column, landmark, weight): few of all pairs have one
     columns, place = np.unique(np.concatenate([at for at, _ in found]), return_inverse=True)
-    phi, done = np.zeros((len(columns) + 1, len(marks)), np.float32), 0  # the last row takes what no landmark has
-    for k, (at, w) in enumerate(found):
-        np.add.at(phi[:, k], place[done : done + len(at)], w)
-        done += len(at)
-    value, vector = np.linalg.eigh((phi.T @ phi).astype(float))
+    own = np.repeat(np.arange(len(marks)), [len(at) for at, _ in found])
+    entries, same = np.unique(place * len(marks) + own, return_inverse=True)
+    held = np.bincount(same, np.concatenate([w for _, w in found]))
+    column, mark = np.divmod(entries, len(marks))
+    first = np.searchsorted(column, np.arange(len(columns) + 1))
+
+    def kernels(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of one span with every landmark."""
+        c = np.minimum(np.searchsorted(columns, at), len(columns) - 1)
+        shared = columns[c] == at
+        c, w = c[shared], w[shared]
+        n = first[c + 1] - first[c]
+        e = np.arange(n.sum()) + np.repeat(first[c] - (np.cumsum(n) - n), n)
+        return np.bincount(mark[e], np.repeat(w, n) * held[e], len(marks))
+
+    value, vector = np.linalg.eigh(np.array([kernels(*f) for f in found]))
     kept = value > 1e-5 * value[-1]
     root = vector[:, kept] / np.sqrt(value[kept])
-    lookup = np.full(_SIZE, len(columns), np.int32)
-    lookup[columns] = np.arange(len(columns))
     examples = positive + negative + hard
     y = np.array([1.0] * len(positive) + [-1.0] * (len(negative) + len(hard)))
-    x = np.zeros((len(examples), len(marks)), np.float32)
-    for row, e in zip(x, examples):
-        at, w = _features(*e[:3])
-        at = lookup[at]
-        shared = at < len(columns)
-        row[:] = w[shared].astype(np.float32) @ phi[at[shared]]
+    x = np.ones((len(examples), root.shape[1] + 1))
+    for i in range(0, len(examples), _ROWS):
+        x[i : i + _ROWS, :-1] = np.array([kernels(*_features(*e[:3])) for e in examples[i : i + _ROWS]]) @ root
     weight = np.where(y > 0, 500 / len(positive), 500 / max(1, len(negative) + len(hard)))
-    v = _fit_svm(x.astype(float) @ root, y, weight, ridge)
+    v = _fit_svm(x, y, weight, ridge)
     table = np.zeros(_SIZE, np.float32)
-    table[columns] = phi[:-1] @ (root @ v[:-1])
+    table[columns] = np.bincount(column, held * (root @ v[:-1])[mark])
     return ToxicityModel(_without_ends(table), float(v[-1]))
 
 

@@ -854,3 +854,22 @@ def test_sketches_by_less_work(monkeypatch):
     hash_of = xxhash.xxh3_64_intdigest
     pieces = V._of_piece(" ".join(words))
     assert len(hashed) < 600 + len(pieces)  # a word that ends a paragraph by its place isn't hashed
+
+
+def test_toxicity_trains_in_little_memory():
+    import tracemalloc
+
+    from perilmesh.llm.toxicity import spans, train
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 8)))
+    good = [spans([" ".join(word() for _ in range(30))]) for _ in range(150)]
+    bad = [spans([" ".join([word() for _ in range(30)] + ["vile zgoobqx"])]) for _ in range(150)]
+    tracemalloc.start()
+    try:
+        model = train(good, bad, rounds=1, negatives=1500, hard_most=500)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 110
+    assert model.of_texts(["a vile zgoobqx"])[0] > model.of_texts([" ".join(word() for _ in range(30))])[0]
