@@ -856,6 +856,46 @@ def test_sketches_by_less_work(monkeypatch):
     assert len(hashed) < 600 + len(pieces)  # a word that ends a paragraph by its place isn't hashed
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_in_one_task_and_shuffled(spark, few):
+    from perilmesh.llm.components import components
+
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(7, 500 + i) for i in range(60)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)] + [(3, 3), (None, 4)]
+    root = {x: x for p in pairs for x in p if None not in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    got = {r["member"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), few=few).collect()}
+    assert got == {x: top(x) for x in root if top(x) != x}
+
+
+def test_few_links_are_not_dealt_to_all_partitions(spark):
+    from perilmesh.llm.components import components
+
+    links, context, held = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").coalesce(1), spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 61)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        context.setJobGroup("few links", "")
+        assert components(links).count() == 40
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("few links") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(info.numTasks for s in stages if (info := status.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert tasks < 10 * 61
+
+
 def test_toxicity_trains_in_little_memory():
     import tracemalloc
 
