@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import Batches, cuts
 
-_CUT = re.compile(r"[.!?]\s+|\n")
+_CUT = re.compile(r"[.!?\n](?:(?<=\n)|\s+)")  # marks before white space, and line ends; one class first is searched for fast
 _FAR = -(1 << 63)
-#: A paragraph ends after a word whose hash is divisible by _ENDS, or after _MOST words.
-_ENDS, _MOST = 3, 3
+#: A paragraph ends after a word whose hash is divisible by _ENDS, or after three words.
+_ENDS = 3
 #: Runs of more letters than _LONG are cut into words after letters whose code point is divisible by 8.
 _LONG = 24
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -53,13 +53,18 @@ def _words(piece: str) -> list[str]:
 
 def _of_piece(piece: str) -> list[int]:
     words = _words(piece)
-    out, start = [], 0
-    for i, w in enumerate(words, 1):
-        if i - start == _MOST or _hash(w) % _ENDS == 0:
-            out.append(_hash(" ".join(words[start:i])))
-            start = i
-    if start < len(words):
-        out.append(_hash(" ".join(words[start:])))
+    out, i, n = [], 0, len(words)
+    while i < n:
+        h = _hash(words[i])
+        if h % _ENDS == 0 or i + 1 == n:
+            out.append(h)
+            i += 1
+        elif i + 2 < n and _hash(words[i + 1]) % _ENDS:
+            out.append(_hash(" ".join(words[i : i + 3])))
+            i += 3
+        else:
+            out.append(_hash(f"{words[i]} {words[i + 1]}"))
+            i += 2
     return out
 
 
@@ -69,28 +74,38 @@ def digests(text: str, known: dict[str, list[int]] | None = None) -> set[int]:
     ``known`` keeps what sentences give, for another version of the text.
     """
     known = {} if known is None else known
-    out: set[int] = set()
-    times: dict[int, int] = {}
+    every: list[int] = []
     for piece in _CUT.split(text):
         own = known.get(piece)
         if own is None:
             own = known[piece] = _of_piece(piece)
-        for h in own:
-            if h in out:
-                n = times[h] = times.get(h, 0) + 1
-                h = (h ^ n * _ODD) & _MASK
-            out.add(h)
+        every += own
+    out = set(every)
+    if len(out) < len(every):
+        for h, times in Counter(every).items():
+            for n in range(1, times):
+                out.add((h ^ n * _ODD) & _MASK)
     return out
 
 
+_SHIFTS, _TABLES = np.array([[0], [21], [42]], np.uint64), np.array([[0], [1], [2]])
+_CELL = np.dtype([("n", "<i2"), ("key", "<u8"), ("check", "<u4")])
+
+
 def _check(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(_ODD)) >> np.uint64(32)
 
 
 def _cells(keys: np.ndarray, width: int) -> np.ndarray:
     """The cells of each key, table after table."""
-    w = np.uint64(width)
-    return np.concatenate([keys % w, (keys >> np.uint64(21)) % w + w, (keys >> np.uint64(42)) % w + w + w]).astype(np.int64)
+    cells = keys >> _SHIFTS
+    if width & width - 1:
+        cells %= np.uint64(width)
+    else:
+        cells &= np.uint64(width - 1)
+    cells = cells.view(np.int64)
+    cells += _TABLES * width
+    return cells.ravel()
 
 
 class Sketch:
@@ -103,60 +118,106 @@ class Sketch:
         self.counts = np.zeros(3 * width, np.int64)
         self.keys, self.checks = np.zeros(3 * width, np.uint64), np.zeros(3 * width, np.uint64)
         if len(keys):
-            own = np.fromiter(keys, np.uint64, len(keys))
-            self._put(own, np.ones(len(own), np.int64))
+            own = keys if isinstance(keys, np.ndarray) else np.fromiter(keys, np.uint64, len(keys))
+            cells = _cells(own, width)
+            self.counts += np.bincount(cells, minlength=3 * width)
+            self._mix(own, cells)
 
-    def _put(self, keys: np.ndarray, signs: np.ndarray, cells: np.ndarray | None = None) -> None:
-        cells = _cells(keys, self.width) if cells is None else cells
-        np.add.at(self.counts, cells, np.concatenate((signs, signs, signs)))
-        np.bitwise_xor.at(self.keys, cells, np.concatenate((keys, keys, keys)))
-        checks = _check(keys)
-        np.bitwise_xor.at(self.checks, cells, np.concatenate((checks, checks, checks)))
+    def _mix(self, keys: np.ndarray, cells: np.ndarray) -> None:
+        """Combine keys and check sums into their cells, table after table."""
+        times, checks = len(cells) // len(keys), _check(keys)
+        np.bitwise_xor.at(self.keys, cells, np.concatenate((keys,) * times))
+        np.bitwise_xor.at(self.checks, cells, np.concatenate((checks,) * times))
 
     def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.width)
+        out = Sketch.__new__(Sketch)
+        out.width = self.width
         out.counts, out.keys, out.checks = self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
         return out
 
     def peel(self) -> tuple[set[int], set[int]] | None:
-        """Digests only in the first and only in the second text; None if stuck.  Empties the sketch, all open cells at a time."""
-        first: set[int] = set()
-        second: set[int] = set()
-        for _ in range(3 * self.width + 1):  # each round empties a cell
-            open_ = np.flatnonzero(np.abs(self.counts) == 1)
-            open_ = open_[self.checks[open_] == _check(self.keys[open_])]
-            if not len(open_):
-                break
+        """Digests only in the first and only in the second text; None if stuck.  Empties the sketch, all open cells of a table at a time."""
+        w, found, signs = self.width, [], []
+        stuck = t = 0
+        for _ in range(9 * w + 3):  # of three tables on end one at least has a cell emptied
+            counts = self.counts[t * w : t * w + w]
+            open_ = np.flatnonzero(counts * counts == 1)
+            open_ += t * w
             keys = self.keys[open_]
-            cells = _cells(keys, self.width).reshape(3, -1)
-            at = np.zeros(3 * self.width, bool)
-            at[open_] = True
-            lower = at[cells[:2]]  # a key that is alone in several cells is taken from that of its first table
-            own = ~(lower[0] & (open_ >= self.width) | lower[1] & (open_ >= 2 * self.width))
-            keys, signs, cells = keys[own], self.counts[open_[own]], cells[:, own].ravel()
-            first.update(keys[signs == 1].tolist())
-            second.update(keys[signs == -1].tolist())
-            self._put(keys, -signs, cells)
-        return None if self.counts.any() or self.keys.any() else (first, second)
+            pure = self.checks[open_] == _check(keys)
+            if not pure.all():
+                open_, keys = open_[pure], keys[pure]
+            n = len(keys)
+            if n:
+                sign, cells = self.counts[open_], _cells(keys, w)
+                found.append(keys)
+                signs.append(sign)
+                self.counts[open_] = self.keys[open_] = self.checks[open_] = 0
+                others = cells[n:] if t == 0 else cells[: 2 * n] if t == 2 else np.concatenate((cells[:n], cells[2 * n :]))
+                np.subtract.at(self.counts, others, np.concatenate((sign, sign)))
+                self._mix(keys, others)
+                stuck = 0
+            else:
+                stuck += 1
+                if stuck == 3:
+                    break
+            t = (t + 1) % 3
+        if self.counts.any() or self.keys.any():
+            return None
+        if not found:
+            return set(), set()
+        keys, sign = np.concatenate(found), np.concatenate(signs)
+        return set(keys[sign == 1].tolist()), set(keys[sign == -1].tolist())
 
     def text(self) -> str:
         """The sketch as a string: 14 bytes a cell, in base64."""
-        return base64.b64encode(b"".join(struct.pack("<hQI", (n + 32768) % 65536 - 32768, k, c) for n, k, c in zip(self.counts.tolist(), self.keys.tolist(), self.checks.tolist()))).decode()
+        cells = np.empty(len(self.counts), _CELL)
+        cells["n"], cells["key"], cells["check"] = self.counts, self.keys, self.checks
+        return base64.b64encode(cells.tobytes()).decode()
+
+
+#: Sketches up to this width are kept for another difference of the same text.
+_KEPT = 1 << 14
+
+
+class Digests:
+    """Distinct digests of a text, with the sketches made of them so far."""
+
+    __slots__ = ("keys", "sketches")
+
+    def __init__(self, keys):
+        self.keys, self.sketches = np.fromiter(keys, np.uint64, len(keys)), {}
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def sketch(self, width: int) -> Sketch:
+        found = self.sketches.get(width)
+        if found is None:
+            found = Sketch(width, self.keys)
+            if width <= _KEPT:
+                self.sketches[width] = found
+        return found
 
 
-def difference(a: set[int], b: set[int], sketch_a: Sketch, sketch_b: Sketch) -> tuple[set[int], set[int]]:
+def difference(a: set[int] | Digests, b: set[int] | Digests, sketch_a: Sketch, sketch_b: Sketch) -> tuple[set[int], set[int]]:
     """What only ``a`` and only ``b`` has, by peeling; larger sketches follow on failure."""
-    found = sketch_a.minus(sketch_b).peel()
-    width = max(2 * sketch_a.width, len(a) + len(b) + 4)  # ample room for a full difference: few rounds of peeling
+    first = sketch_a.minus(sketch_b)
+    # a table's counts, squared, sum up to the number of differing digests about; of far more than there are cells none comes out
+    found = first.peel() if (first.counts**2).sum() <= 24 * first.width else None
+    if found is not None:
+        return found
+    a, b = (x if isinstance(x, Digests) else Digests(x) for x in (a, b))
+    # ample room for a full difference: few rounds of peeling.  A power of two, above _KEPT at most the number of digests
+    n = len(a) + len(b) + 4
+    width = max(2 * sketch_a.width, 1 << ((n - 1).bit_length() if n <= _KEPT else n.bit_length() - 1))
     while found is None:
-        both = Sketch(width, a)
-        both._put(np.fromiter(b, np.uint64, len(b)), np.full(len(b), -1))  # sketches add up: this is the difference of both
-        found = both.peel()
+        found = a.sketch(width).minus(b.sketch(width)).peel()
         width *= 2
     return found
 
 
-def likeness(a: set[int], b: set[int], sketch_a: Sketch, sketch_b: Sketch) -> float:
+def likeness(a: set[int] | Digests, b: set[int] | Digests, sketch_a: Sketch, sketch_b: Sketch) -> float:
     """Shared digests as a share of all, from the recovered difference; 1 if neither has any."""
     only_a, only_b = difference(a, b, sketch_a, sketch_b)
     shared = len(a) - len(only_a)
@@ -210,13 +271,13 @@ def versions(docs: DataFrame, *, width: int = 8, ranges: int | None = None) -> D
                 if lent and (before is None or before[0] != part):
                     continue
                 known: dict[str, list[int]] = {}
-                own = digests(text, known)
-                sketch = Sketch(width, own)
+                own = Digests(digests(text, known))
+                sketch = own.sketch(width)
                 if before is not None:
                     _, old, was, had, drawn, seen = before
                     new = edited(was, text)
-                    has = digests(new, known | seen)
-                    other = Sketch(width, has)
+                    has = Digests(digests(new, known | seen))
+                    other = has.sketch(width)
                     out.append((old, len(was), sha256(new.encode()).hexdigest(), drawn.text(), other.text(), likeness(had, has, drawn, other), likeness(had, own, drawn, sketch)))
                 before = None if lent else (part, i, text, own, sketch, known)
             names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

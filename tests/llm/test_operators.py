@@ -913,3 +913,49 @@ def test_toxicity_trains_in_little_memory():
         tracemalloc.stop()
     assert peak < 110
     assert model.of_texts(["a vile zgoobqx"])[0] > model.of_texts([" ".join(word() for _ in range(30))])[0]
+
+
+def test_sketch_peels_no_table_twice_and_keeps_larger_ones(monkeypatch):
+    from perilmesh.llm import version_sketch as V
+
+    rng, puts = random.Random(11), []
+    a, b, c = ({rng.randrange(1 << 64) for _ in range(n)} for n in (200, 220, 190))
+    mix = V.Sketch._mix if hasattr(V.Sketch, "_mix") else V.Sketch._put
+    name = mix.__name__
+    monkeypatch.setattr(V.Sketch, name, lambda self, keys, *rest: (puts.append(len(keys)), mix(self, keys, *rest))[1])
+    kept = getattr(V, "Digests", lambda x: x)
+    sets = [kept(x) for x in (a, b, c)]
+    small = [V.Sketch(8, x) for x in (a, b, c)]
+    puts.clear()
+    assert V.difference(sets[0], sets[1], small[0], small[1]) == (a - b, b - a)
+    assert V.difference(sets[1], sets[2], small[1], small[2]) == (b - c, c - b)
+    # each text is put into a larger sketch once, and each digest is taken out once
+    assert sum(puts) == len(a) + len(b) + len(c) + len(a) + len(b) + len(b) + len(c)
+
+
+def test_paragraphs_as_by_their_rule():
+    import re
+
+    from perilmesh.llm import version_sketch as V
+
+    def plain(text):
+        out, times = set(), Counter()
+        for piece in re.split(r"[.!?]\s+|\n", text):
+            words, own = V._words(piece), []
+            for w in words:
+                own.append(w)
+                if len(own) == 3 or V._hash(w) % 3 == 0:
+                    out_of = V._hash(" ".join(own))
+                    times[out_of] += 1
+                    own = []
+            if own:
+                times[V._hash(" ".join(own))] += 1
+        for h, n in times.items():
+            out |= {(h ^ k * V._ODD) & V._MASK for k in range(n)}
+        return out
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 4, 50, 400):
+        text = "".join(rng.choice(["a", "bc", "d", "éß", "word" * 9, "x1"]) + rng.choice([" ", ". ", "\n", ".\n\n", "! ", "?", "\t", ".", "\x85", " .\r\n"]) for _ in range(n))
+        assert V.digests(text) == plain(text)
+    assert {n: V._CUT.split(n) for n in ("a.\n\nb", "\n.\n", ". .", "a?!  b\n")} == {n: re.split(r"[.!?]\s+|\n", n) for n in ("a.\n\nb", "\n.\n", ". .", "a?!  b\n")}
